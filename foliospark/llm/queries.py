@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouped_split, split_overlap
+from . import grouped_split, leak_scan, split_overlap, truncation
 
 
 def _overlaps(spark, sf_dir):
@@ -28,5 +28,30 @@ def p3_split(spark, sf_dir):
     return grouped_split.assign(table(spark, sf_dir, "manifest_docs"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_split": p3_split}
+def p8_found(spark, sf_dir):
+    return leak_scan.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_clean(spark, sf_dir):
+    return leak_scan.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark, sf_dir):
+    return truncation.truncated(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_sources(spark, sf_dir):
+    return truncation.by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p3_found": p3_found,
+    "p3_split": p3_split,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
+    "p9_found": p9_found,
+    "p9_sources": p9_sources,
+}
 ORACLES: dict[str, str] = {}
