@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouped_split, leak_scan, split_overlap, truncation
+from . import grouped_split, leak_scan, lookalikes, mojibake, split_overlap, truncation
 
 
 def _overlaps(spark, sf_dir):
@@ -28,6 +28,28 @@ def p3_split(spark, sf_dir):
     return grouped_split.assign(table(spark, sf_dir, "manifest_docs"))
 
 
+def _page_texts(spark, sf_dir):
+    return mojibake.page_texts(table(spark, sf_dir, "page_lines"), table(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark, sf_dir):
+    texts = _page_texts(spark, sf_dir)
+    wrong = mojibake.garbled(texts).select("item_kind", "row_id").distinct()
+    return lookalikes.unified(texts).select("item_kind", "row_id").distinct().join(wrong, ["item_kind", "row_id"], "left_anti")
+
+
+def p2_canonical(spark, sf_dir):
+    return lookalikes.unified(_page_texts(spark, sf_dir)).distinct()
+
+
+def p6_found(spark, sf_dir):
+    return mojibake.garbled(_page_texts(spark, sf_dir)).select("item_kind", "row_id").distinct()
+
+
+def p6_restored(spark, sf_dir):
+    return mojibake.garbled(_page_texts(spark, sf_dir)).distinct()
+
+
 def p8_found(spark, sf_dir):
     return leak_scan.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -47,8 +69,12 @@ def p9_sources(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p3_split": p3_split,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
     "p9_found": p9_found,

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut, salted_key_join
+from ..runtime import broadcast_if_small, cut, pairs_between
 from .names import digest_key, document_key
 from .words import lcs_length, mix, word_hashes, words
 
@@ -57,93 +57,68 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for batch in batches:
         out = []
-        for entry, split, text in zip(batch["entry_id"], batch["split"], batch["lead_text"]):
+        for entry, train, text in zip(batch["entry_id"], batch["is_left"], batch["lead_text"]):
             tokens = words(text)
             if tokens:
                 digests, lengths = chunk_words(tokens, known)
-                out.append((entry, split, xxhash.xxh3_128_hexdigest("\x00".join(tokens)), " ".join(tokens), len(tokens), digests, lengths))
-        yield pd.DataFrame(out, columns=["entry_id", "split", "text_key", "plain", "n_words", "digests", "lengths"])
+                key = xxhash.xxh3_128_digest("\x00".join(tokens))
+                out.append((entry, train, key, len(tokens), digests, lengths))
+        yield pd.DataFrame(out, columns=["id", "is_left", "text_key", "n_words", "digests", "lengths"])
 
 
-def chunked_texts(manifest: DataFrame) -> DataFrame:
+def chunked_texts(entries: DataFrame) -> DataFrame:
     """Entries with the key of their normalised text and its chunks; entries without words are left out."""
     return (
-        manifest.where("lead_text is not null and split is not null")
-        .select("entry_id", "split", "lead_text")
-        .mapInPandas(
-            _chunked,
-            "entry_id bigint, split string, text_key string, plain string, n_words int, digests array<bigint>, lengths array<int>",
-        )
+        entries.where("lead_text is not null")
+        .select("entry_id", "is_left", "lead_text")
+        .mapInPandas(_chunked, "id bigint, is_left boolean, text_key binary, n_words int, digests array<bigint>, lengths array<int>")
     )
 
 
 def _verify(batches: Iterator[pd.DataFrame], same: float) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
     for batch in batches:
         keep, shares = [], []
-        for a, b, da, la, db, lb in zip(*(batch[c] for c in ("plain_a", "plain_b", "da", "la", "db", "lb"))):
-            left, shared = Counter(db.tolist()), 0
-            for d, n in zip(da.tolist(), la.tolist()):
-                if left[d] > 0:
-                    left[d] -= 1
-                    shared += n
-            wa, wb = a.split(" "), b.split(" ")
+        for a, b in zip(batch["text_a"], batch["text_b"]):
+            wa, wb = words(a), words(b)
+            left, shared = Counter(zip(*chunk_words(wb, known))), 0
+            for chunk in zip(*chunk_words(wa, known)):
+                if left[chunk] > 0:
+                    left[chunk] -= 1
+                    shared += chunk[1]
             longer = max(len(wa), len(wb))
             keep.append(shared >= CHUNK_SHARE * longer and lcs_length(wa, wb) >= same * longer)
             shares.append(shared / longer)
-        out = batch[["key_a", "key_b"]].assign(chunk_share=np.array(shares, dtype=float))
+        out = batch[["a", "b"]].assign(chunk_share=np.array(shares, dtype=float))
         yield out[np.array(keep, dtype=bool)]
 
 
-def near_same_texts(chunked: DataFrame, same: float = SAME_SHARE) -> DataFrame:
-    """``key_a, key_b, chunk_share``: different texts, the first in train and the second held out."""
-    held = F.col("split").isin(*HELD_OUT)
-    texts = chunked.groupBy("text_key").agg(
-        F.max(F.col("split") == "train").alias("in_train"),
-        F.max(held).alias("in_held"),
-        F.first("plain").alias("plain"),
-        F.first("n_words").alias("n_words"),
-        F.first("digests").alias("digests"),
-        F.first("lengths").alias("lengths"),
-    )
-    texts = cut(texts.where("in_train or in_held"))
-    chunks = texts.select(
-        "text_key", "in_train", "in_held", "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")
-    ).select("text_key", "in_train", "in_held", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    spread = chunks.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"), F.max("in_train").alias("t"), F.max("in_held").alias("h")
-    )
+def near_same_texts(chunked: DataFrame, texts: DataFrame, same: float = SAME_SHARE) -> DataFrame:
+    """``a, b, chunk_share``: different texts, by their smallest entries, ``a`` in train and ``b`` held out.
+
+    ``texts`` has the ``id`` and ``text`` of every entry.
+    """
+    first = F.min(F.struct("id", "n_words", "digests", "lengths"))
+    distinct = chunked.groupBy("text_key").agg(first.alias("t"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held"))
+    chunks = distinct.select(
+        F.col("t.id").alias("id"), "train", "held", F.col("t.n_words").alias("n_words"), F.explode(F.arrays_zip("t.digests", "t.lengths")).alias("c")
+    ).select("id", "train", "held", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
+    chunks = cut(chunks)
+    spread = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("train").alias("t"), F.max("held").alias("h"))
     # A digest on one side only cannot join, but it does count for the rarest chunks of its text.
-    ranked = chunks.join(spread, "digest").withColumn(
-        "common",
-        F.sum("length").over(Window.partitionBy("text_key").orderBy(F.desc("texts"), "digest").rangeBetween(Window.unboundedPreceding, 0)),
-    )
-    rare = ranked.where(F.col("common") >= CHUNK_SHARE * F.col("n_words")).where("t and h").select("digest", "text_key", "in_train", "in_held").distinct()
-    pairs = (
-        salted_key_join(
-            rare.where("in_train").select("digest", F.col("text_key").alias("key_a")),
-            rare.where("in_held").select("digest", F.col("text_key").alias("key_b")),
-            "digest",
-        )
-        .where("key_a <> key_b")
-        .select("key_a", "key_b")
-        .distinct()
-    )
-    side = lambda s: texts.select(
-        F.col("text_key").alias(f"key_{s}"), F.col("plain").alias(f"plain_{s}"), F.col("digests").alias(f"d{s}"), F.col("lengths").alias(f"l{s}")
+    order = Window.partitionBy("id").orderBy(F.desc("texts"), "digest").rangeBetween(Window.unboundedPreceding, 0)
+    rare = (
+        chunks.join(spread, "digest")
+        .withColumn("common", F.sum("length").over(order))
+        .where(F.col("common") >= CHUNK_SHARE * F.col("n_words"))
+        .where("t and h")
+        .select("digest", "id", F.explode(F.array_compact(F.array(F.when(F.col("train"), True), F.when(F.col("held"), False)))).alias("is_left"))
     )
-    return pairs.join(side("a"), "key_a").join(side("b"), "key_b").mapInPandas(
-        lambda it: _verify(it, same), "key_a string, key_b string, chunk_share double"
-    )
-
-
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs of a train entry and a held-out entry with the same key."""
-    rows = rows.where(F.col(key).isNotNull()).select("entry_id", "split", key).distinct()
-    return salted_key_join(
-        rows.where("split = 'train'").select(key, F.col("entry_id").alias("train_id")),
-        rows.where(F.col("split").isin(*HELD_OUT)).select(key, F.col("entry_id").alias("held_id")),
-        key,
-    ).select("train_id", "held_id")
+    pairs = cut(pairs_between(rare, "digest").where("left_id <> right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct())
+    wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = texts.join(wanted, "id")
+    side = lambda s: some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lambda it: _verify(it, same), "a bigint, b bigint, chunk_share double")
 
 
 def cross_split_pairs(manifest: DataFrame, results: DataFrame, same: float = SAME_SHARE) -> DataFrame:
@@ -154,30 +129,30 @@ def cross_split_pairs(manifest: DataFrame, results: DataFrame, same: float = SAM
     Entries without split, null and empty names, hashes and texts overlap with nothing;
     repeated rows count once; empty tables give an empty result; further columns are ignored.
     """
-    entries = manifest.select("entry_id", "split", "document", "lead_text").where("entry_id is not null and split is not null")
-    named = _pairs(entries.withColumn("name", document_key(F.col("document"))), "name")
-    digests = results.select("entry_id", digest_key(F.col("pdf_hash")).alias("digest")).where("digest is not null").distinct()
-    hashed = _pairs(entries.select("entry_id", "split").join(digests, "entry_id"), "digest")
-    chunked = cut(chunked_texts(entries))
-    members = chunked.select("entry_id", "split", "text_key")
-    equal = _pairs(members, "text_key")
-    near = near_same_texts(chunked, same)
-    train = near.join(
-        members.where("split = 'train'").select(F.col("text_key").alias("key_a"), F.col("entry_id").alias("train_id")), "key_a"
-    ).select(F.concat_ws("/", "key_a", "key_b").alias("pair"), "key_b", "train_id")
-    held = members.where(F.col("split").isin(*HELD_OUT)).select(F.col("text_key").alias("key_b"), F.col("entry_id").alias("held_id"))
-    similar = salted_key_join(train.select("key_b", "train_id"), held, "key_b").select("train_id", "held_id")
-
-    def as_relation(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("relation", F.lit(name))
-
-    return (
-        as_relation(named, "document")
-        .unionByName(as_relation(hashed, "hash"))
-        .unionByName(as_relation(equal, "text"))
-        .unionByName(as_relation(similar, "text"))
-        .distinct()
+    entries = manifest.where("entry_id is not null").where(F.col("split").isin("train", *HELD_OUT)).select(
+        "entry_id", (F.col("split") == "train").alias("is_left"), "document", "lead_text"
     )
+    sides = entries.select(F.col("entry_id").alias("id"), "is_left")
+    digests = results.select(F.col("entry_id").alias("id"), digest_key(F.col("pdf_hash")).alias("key")).where("key is not null").distinct()
+    chunked = cut(chunked_texts(entries))
+    texts = entries.select(F.col("entry_id").alias("id"), F.col("lead_text").alias("text"))
+    near = cut(near_same_texts(chunked, texts, same).select("a", "b"))
+    # Entries of equal texts share the smallest of them, which is how the near pairs name a text.
+    members = chunked.join(chunked.groupBy("text_key").agg(F.min("id").alias("text")), "text_key").select("id", "is_left", "text")
+    trained = near.join(members.where("is_left").select(F.col("text").alias("a"), "id"), "a").select(F.col("b").alias("key"), "id", F.lit(True).alias("is_left"))
+    held = members.where(~F.col("is_left")).select(F.col("text").alias("key"), "id", "is_left")
+    relations = {
+        "document": entries.select("is_left", F.col("entry_id").alias("id"), document_key(F.col("document")).alias("key")),
+        "hash": sides.join(digests, "id"),
+        "text": trained.unionByName(held).unionByName(members.where("is_left").select(F.col("text").alias("key"), "id", "is_left")),
+    }
+    found = None
+    for relation, rows in relations.items():
+        part = pairs_between(rows.distinct(), "key").select(
+            F.col("left_id").alias("train_id"), F.col("right_id").alias("held_id"), F.lit(relation).alias("relation")
+        )
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
