@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouped_split, leak_scan, lookalikes, mojibake, split_overlap, truncation
+from . import grouped_split, leak_scan, lookalikes, mojibake, packing, segment, split_overlap, truncation
 
 
 def _overlaps(spark, sf_dir):
@@ -42,6 +42,22 @@ def p2_canonical(spark, sf_dir):
     return lookalikes.unified(_page_texts(spark, sf_dir)).distinct()
 
 
+def p5_found(spark, sf_dir):
+    return segment.oversized_ids(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+
+
+def p5_pieces(spark, sf_dir):
+    return segment.split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+
+
+def p7_pack(spark, sf_dir):
+    return packing.pack_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
+
+
+def p7_fill(spark, sf_dir):
+    return packing.fill(p7_pack(spark, sf_dir), table(spark, sf_dir, "token_budgets"))
+
+
 def p6_found(spark, sf_dir):
     return mojibake.garbled(_page_texts(spark, sf_dir)).select("item_kind", "row_id").distinct()
 
@@ -73,6 +89,10 @@ QUERIES = {
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p3_split": p3_split,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p8_found": p8_found,
@@ -80,4 +100,8 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_sources": p9_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": """SELECT DISTINCT c.chunk_id FROM chunks c
+JOIN chunk_limits l ON lower(trim(c.metadata.kind)) = lower(trim(l.kind))
+WHERE length(c.text) > l.max_chars""",
+}
