@@ -56,20 +56,19 @@ def blank_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def salted_key_join(left: DataFrame, right: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
-    """Inner join on ``key`` whose hot keys are spread over several tasks.
-
-    Keys are counted on both sides first (with map-side combining); keys that occur on
-    one side only never reach the join.  A key with ``l`` and ``r`` rows gets
-    ``ceil(l * r / budget)`` salts, at most ``l``: each left row takes one salt, each right row is
-    repeated for all of them, so every pair still comes out exactly once.
-    Null keys match nothing.
+def pairs_between(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
+    """``left_id, right_id``: all pairs of a left and a right row with the same ``key``.
+
+    ``rows`` has ``key``, ``id`` and the boolean ``is_left``.  Keys are counted first, with
+    map-side combining; rows of keys that occur on one side only go no further.  A key
+    with ``l`` left and ``r`` right rows gets ``ceil(l * r / budget)`` salts, at most ``l``:
+    each left row takes one salt, each right row is repeated for all of them, so a hot key
+    is worked on by many tasks and every pair still comes out once.  Null keys match nothing.
     """
-    ln = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
-    rn = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
-    salts = ln.join(rn, key).select(
-        key, F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / budget)).cast("int").alias("_n")
-    )
-    a = left.join(salts, key).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.col("_n")).cast("int")).drop("_n")
-    b = right.join(salts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    return a.join(b, [key, "_salt"]).drop("_salt")
+    left, right = F.count_if("is_left"), F.count_if(~F.col("is_left"))
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(left.alias("_l"), right.alias("_r")).where("_l > 0 and _r > 0")
+    salts = hot.select(key, F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / budget)).cast("int").alias("_n"))
+    kept = rows.join(salts, key)
+    a = kept.where("is_left").select(key, F.col("id").alias("left_id"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_salt"))
+    b = kept.where(~F.col("is_left")).select(key, F.col("id").alias("right_id"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
+    return a.join(b, [key, "_salt"]).select("left_id", "right_id")
