@@ -56,19 +56,32 @@ def blank_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def pairs_between(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
-    """``left_id, right_id``: all pairs of a left and a right row with the same ``key``.
+def both_sides(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
+    """Rows of the keys that occur on both sides, with the number of salts ``_n`` of their key.
 
-    ``rows`` has ``key``, ``id`` and the boolean ``is_left``.  Keys are counted first, with
-    map-side combining; rows of keys that occur on one side only go no further.  A key
-    with ``l`` left and ``r`` right rows gets ``ceil(l * r / budget)`` salts, at most ``l``:
-    each left row takes one salt, each right row is repeated for all of them, so a hot key
-    is worked on by many tasks and every pair still comes out once.  Null keys match nothing.
+    ``rows`` has ``key``, ``id`` and the boolean ``is_left``.  A key with ``l`` left and
+    ``r`` right rows gets ``ceil(l * r / budget)`` salts, at most ``l``.  Null keys match nothing.
     """
     left, right = F.count_if("is_left"), F.count_if(~F.col("is_left"))
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(left.alias("_l"), right.alias("_r")).where("_l > 0 and _r > 0")
     salts = hot.select(key, F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / budget)).cast("int").alias("_n"))
-    kept = rows.join(salts, key)
-    a = kept.where("is_left").select(key, F.col("id").alias("left_id"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_salt"))
-    b = kept.where(~F.col("is_left")).select(key, F.col("id").alias("right_id"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
-    return a.join(b, [key, "_salt"]).select("left_id", "right_id")
+    return rows.join(salts, key)
+
+
+def salted_pairs(kept: DataFrame, key: str, keep: Column | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``left_id, right_id``: all pairs of a left and a right row of :func:`both_sides` with the same ``key``.
+
+    Each left row takes one salt, each right row is repeated for all of them, so a hot
+    key is worked on by many tasks and every pair still comes out once.  ``keep`` tests a
+    pair by the further ``columns``, named ``left_...`` and ``right_...``, before it leaves the join.
+    """
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("id", *columns)]
+    a = kept.where("is_left").select(key, *named("left"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_salt"))
+    b = kept.where(~F.col("is_left")).select(key, *named("right"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
+    joined = a.join(b, [key, "_salt"])
+    return (joined if keep is None else joined.where(keep)).select("left_id", "right_id")
+
+
+def pairs_between(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
+    """``left_id, right_id``: all pairs of a left and a right row with the same ``key``; see :func:`salted_pairs`."""
+    return salted_pairs(both_sides(rows, key, budget), key)
