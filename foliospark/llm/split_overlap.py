@@ -6,7 +6,8 @@ lengths of shared chunks add up to overlap fractions.  A pair that shares at lea
 ``CHUNK_SHARE`` of the longer text in whole chunks is verified word by word.
 
 Only the rarest chunks of a text enter the join: those left out add up to less than
-``CHUNK_SHARE`` of it, so a pair sharing that much shares a chunk that did enter.
+``CHUNK_SHARE`` of it, so a pair sharing that much shares a chunk that did enter, as
+all texts rank their chunks in the same order.
 """
 
 from __future__ import annotations
@@ -19,19 +20,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..runtime import broadcast_if_small, cut, pairs_between
+from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs
 from .names import digest_key, document_key
 from .words import lcs_length, mix, word_hashes, words
 
 HELD_OUT = ("validation", "test")
-#: A text is cut where the hash of two neighbouring words is divisible by this: four words a chunk on average.
-CUT_EVERY = 4
+#: A text is cut where the hash of two neighbouring words is divisible by this: three words a chunk on average.
+CUT_EVERY = 3
 #: Longest chunk in words.
 CHUNK_WORDS = 16
 #: Share of the longer text that must lie in shared chunks before two texts are compared.
 CHUNK_SHARE = 0.2
+#: Chunks in more than one of so many texts are ranked by how common they are; a text of ``c`` chunks bounds them by ``c * COMMON_TEXTS``.
+COMMON_TEXTS = 2_000
 #: Share of the longer text's words that must stand in the other in the same order.
 SAME_SHARE = 0.8
 
@@ -53,6 +55,14 @@ def chunk_words(tokens: list[str], known: dict[str, int]) -> tuple[list[int], li
     return digests, lengths
 
 
+def word_bits(tokens: list[str], known: dict[str, int]) -> list[int]:
+    """The words of a text as a set of 256 bits."""
+    bits = [0, 0, 0, 0]
+    for h in set(word_hashes(tokens, known).tolist()):
+        bits[h >> 62] |= 1 << (h & 63)
+    return [x - (1 << 64) if x >> 63 else x for x in bits]
+
+
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, int] = {}
     for batch in batches:
@@ -62,8 +72,8 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if tokens:
                 digests, lengths = chunk_words(tokens, known)
                 key = xxhash.xxh3_128_digest("\x00".join(tokens))
-                out.append((entry, train, key, len(tokens), digests, lengths))
-        yield pd.DataFrame(out, columns=["id", "is_left", "text_key", "n_words", "digests", "lengths"])
+                out.append((entry, train, key, len(tokens), word_bits(tokens, known), digests, lengths))
+        yield pd.DataFrame(out, columns=["id", "is_left", "text_key", "n_words", "bits", "digests", "lengths"])
 
 
 def chunked_texts(entries: DataFrame) -> DataFrame:
@@ -71,7 +81,7 @@ def chunked_texts(entries: DataFrame) -> DataFrame:
     return (
         entries.where("lead_text is not null")
         .select("entry_id", "is_left", "lead_text")
-        .mapInPandas(_chunked, "id bigint, is_left boolean, text_key binary, n_words int, digests array<bigint>, lengths array<int>")
+        .mapInPandas(_chunked, "id bigint, is_left boolean, text_key binary, n_words int, bits array<bigint>, digests array<bigint>, lengths array<int>")
     )
 
 
@@ -93,28 +103,44 @@ def _verify(batches: Iterator[pd.DataFrame], same: float) -> Iterator[pd.DataFra
         yield out[np.array(keep, dtype=bool)]
 
 
+def _rarest(batches: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
+    """The rarest chunks of each text; those left out add up to less than CHUNK_SHARE of its words."""
+    often = common.value
+    for batch in batches:
+        rows = []
+        for id_, train, held, n, digests, lengths in zip(*(batch[c] for c in ("id", "train", "held", "n_words", "digests", "lengths"))):
+            seen = 0
+            chosen = set()
+            for _, digest, length in sorted((-often.get(d, 0), d, l) for d, l in zip(digests.tolist(), lengths.tolist())):
+                seen += length
+                if seen >= CHUNK_SHARE * n:
+                    chosen.add(digest)
+            rows += [(digest, id_, side) for digest in chosen for side, there in ((True, train), (False, held)) if there]
+        yield pd.DataFrame(rows, columns=["digest", "id", "is_left"])
+
+
 def near_same_texts(chunked: DataFrame, texts: DataFrame, same: float = SAME_SHARE) -> DataFrame:
     """``a, b, chunk_share``: different texts, by their smallest entries, ``a`` in train and ``b`` held out.
 
-    ``texts`` has the ``id`` and ``text`` of every entry.
+    ``texts`` has the ``id`` and ``text`` of every entry.  Before two texts are compared,
+    their words as bit sets must not differ in more places than the words that may differ.
     """
-    first = F.min(F.struct("id", "n_words", "digests", "lengths"))
-    distinct = chunked.groupBy("text_key").agg(first.alias("t"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held"))
-    chunks = distinct.select(
-        F.col("t.id").alias("id"), "train", "held", F.col("t.n_words").alias("n_words"), F.explode(F.arrays_zip("t.digests", "t.lengths")).alias("c")
-    ).select("id", "train", "held", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    chunks = cut(chunks)
-    spread = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("train").alias("t"), F.max("held").alias("h"))
-    # A digest on one side only cannot join, but it does count for the rarest chunks of its text.
-    order = Window.partitionBy("id").orderBy(F.desc("texts"), "digest").rangeBetween(Window.unboundedPreceding, 0)
-    rare = (
-        chunks.join(spread, "digest")
-        .withColumn("common", F.sum("length").over(order))
-        .where(F.col("common") >= CHUNK_SHARE * F.col("n_words"))
-        .where("t and h")
-        .select("digest", "id", F.explode(F.array_compact(F.array(F.when(F.col("train"), True), F.when(F.col("held"), False)))).alias("is_left"))
+    heads = chunked.groupBy("text_key").agg(F.min("id").alias("id"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held")).drop("text_key")
+    distinct = heads.join(chunked.drop("is_left", "text_key"), "id")
+    spread = distinct.select(F.explode(F.array_distinct("digests")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    least = max(2, heads.count() // COMMON_TEXTS)
+    common = {r[0]: r[1] for r in spread.where(F.col("texts") > least).collect()}
+    shared = chunked.sparkSession.sparkContext.broadcast(common)
+    rare = distinct.select("id", "train", "held", "n_words", "digests", "lengths").mapInPandas(
+        lambda it: _rarest(it, shared), "digest bigint, id bigint, is_left boolean"
     )
-    pairs = cut(pairs_between(rare, "digest").where("left_id <> right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct())
+    kept = both_sides(rare, "digest").join(chunked.select("id", "n_words", "bits"), "id")
+    longer = F.greatest("left_n_words", "right_n_words")
+    missing = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(4)), F.lit(0))
+    may = (1 - same) * longer + 1e-9
+    alike = (F.least("left_n_words", "right_n_words") >= same * longer) & (missing("left_bits", "right_bits") <= may) & (missing("right_bits", "left_bits") <= may)
+    found = salted_pairs(kept, "digest", alike & (F.col("left_id") != F.col("right_id")), ("n_words", "bits"))
+    pairs = cut(found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct())
     wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     some = texts.join(wanted, "id")
     side = lambda s: some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
@@ -141,18 +167,20 @@ def cross_split_pairs(manifest: DataFrame, results: DataFrame, same: float = SAM
     members = chunked.join(chunked.groupBy("text_key").agg(F.min("id").alias("text")), "text_key").select("id", "is_left", "text")
     trained = near.join(members.where("is_left").select(F.col("text").alias("a"), "id"), "a").select(F.col("b").alias("key"), "id", F.lit(True).alias("is_left"))
     held = members.where(~F.col("is_left")).select(F.col("text").alias("key"), "id", "is_left")
+    equal = members.select(F.col("text").alias("key"), "id", "is_left")
     relations = {
-        "document": entries.select("is_left", F.col("entry_id").alias("id"), document_key(F.col("document")).alias("key")),
-        "hash": sides.join(digests, "id"),
-        "text": trained.unionByName(held).unionByName(members.where("is_left").select(F.col("text").alias("key"), "id", "is_left")),
+        "document": entries.select(document_key(F.col("document")).alias("key"), F.col("entry_id").alias("id"), "is_left"),
+        "hash": sides.join(digests, "id").select("key", "id", "is_left"),
+        "text": trained.select("key", "id", "is_left").unionByName(equal),
     }
     found = None
     for relation, rows in relations.items():
-        part = pairs_between(rows.distinct(), "key").select(
-            F.col("left_id").alias("train_id"), F.col("right_id").alias("held_id"), F.lit(relation).alias("relation")
-        )
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+        key = F.struct(F.xxhash64("key", F.lit(relation)), F.xxhash64(F.lit(relation), "key"))
+        rows = rows.where("key is not null").select(key.alias("key"), "id", "is_left", F.lit(relation).alias("relation"))
+        found = rows if found is None else found.unionByName(rows)
+    kept = both_sides(found.distinct(), "key")
+    pairs = salted_pairs(kept.withColumn("id", F.struct("id", "relation")), "key")
+    return pairs.select(F.col("left_id.id").alias("train_id"), F.col("right_id.id").alias("held_id"), F.col("left_id.relation").alias("relation")).distinct()
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
