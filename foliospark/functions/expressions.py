@@ -108,8 +108,6 @@ class Parser:
             self.take()
             name = self.name()
             return Node("assign", name, [self._after("=") or Node("literal")])
-        if self.peek("if"):
-            return self.condition()
         if self.peek("while"):
             self.take()
             test = self.expression()
@@ -602,4 +600,4 @@ def compiled(script: str, df: DataFrame) -> Column:
                 out.append(None)
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, StringType(), F.PandasUDFType.SCALAR)(F.struct(*names))
+    return F.pandas_udf(run, StringType())(F.struct(*names))

@@ -85,3 +85,12 @@ def salted_pairs(kept: DataFrame, key: str, keep: Column | None = None, columns:
 def pairs_between(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
     """``left_id, right_id``: all pairs of a left and a right row with the same ``key``; see :func:`salted_pairs`."""
     return salted_pairs(both_sides(rows, key, budget), key)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for passes that take long per row.
+
+    Input of many partitions, which is the rule at scale, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
