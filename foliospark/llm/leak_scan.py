@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .words import shingle_hashes, word_hashes, words
 
 #: Words of a seed.  Of 24 words with 2 changed, 14 lie in unchanged runs of 5 or more.
@@ -170,7 +171,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> Dat
     empty result; whole texts are read, whatever their length.
     """
     schema = "doc_id bigint, item_id bigint, item_from int, item_to int, doc_from int, doc_to int"
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     found = None
     for index in item_blocks(documents.sparkSession, items):
         part = docs.mapInPandas(lambda it, index=index: _scan(it, index, least), schema)
@@ -210,7 +211,7 @@ def cleaned(documents: DataFrame, items: DataFrame, drop_share: float = 0.5) ->
                     rows.append((doc_id, "drop" if whole else "cut", len({h[0] for h in hits}), None if whole else _without(text, [(h[3], h[4]) for h in hits])))
             yield pd.DataFrame(rows, columns=["doc_id", "action", "n_items", "clean_text"])
 
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
     blocks = list(item_blocks(documents.sparkSession, items))
     if len(blocks) > 1:
         raise ValueError("clean against one block of items at a time")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut
+from ..runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary splits text before merging.
@@ -50,7 +50,7 @@ def _count(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, tokens`` of every document with text."""
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
+    texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text <> ''"))
     return texts.mapInPandas(lambda it: _count(it, path), "doc_id bigint, tokens bigint")
 
 

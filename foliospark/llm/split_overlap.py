@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs
+from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs, spread
 from .names import digest_key, document_key
 from .words import lcs_length, mix, word_hashes, words
 
@@ -78,10 +78,9 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def chunked_texts(entries: DataFrame) -> DataFrame:
     """Entries with the key of their normalised text and its chunks; entries without words are left out."""
-    return (
-        entries.where("lead_text is not null")
-        .select("entry_id", "is_left", "lead_text")
-        .mapInPandas(_chunked, "id bigint, is_left boolean, text_key binary, n_words int, bits array<bigint>, digests array<bigint>, lengths array<int>")
+    texts = spread(entries.where("lead_text is not null").select("entry_id", "is_left", "lead_text"))
+    return texts.mapInPandas(
+        _chunked, "id bigint, is_left boolean, text_key binary, n_words int, bits array<bigint>, digests array<bigint>, lengths array<int>"
     )
 
 
