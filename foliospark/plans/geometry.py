@@ -80,10 +80,11 @@ def run_regressions(spark, sf_dir):
     ).where("previous_total is not null")
     now, before = F.col("errors") / F.col("total") * 100, F.col("previous_errors") / F.col("previous_total") * 100
     ok, ok_before = F.col("passed") / F.col("total") * 100, F.col("previous_passed") / F.col("previous_total") * 100
+    rule = lambda name, level, hit: F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"), hit.alias("hit"))
     rules = F.array(
-        F.struct(F.lit("error_rate").alias("rule"), F.lit("trigger").alias("level"), (now - before > 1.0).alias("hit")),
-        F.struct(F.lit("match_rate"), F.lit("trigger"), (ok_before - ok > 3.0)),
-        F.struct(F.lit("mean_ssim"), F.lit("warning"), (F.col("previous_mean_ssim") - F.col("mean_ssim") > 0.005)),
+        rule("error_rate", "trigger", now - before > 1.0),
+        rule("match_rate", "trigger", ok_before - ok > 3.0),
+        rule("mean_ssim", "warning", F.col("previous_mean_ssim") - F.col("mean_ssim") > 0.005),
     )
     return runs.select("run_id", F.explode(rules).alias("r")).where("r.hit").select("run_id", "r.rule", "r.level")
 
