@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
+from ..operators import docling as K
 from ..operators import paths as X
 from ..operators import structure as S
 from ..operators.hierarchy import latest
@@ -45,14 +46,31 @@ def resolved_paths(spark, sf_dir):
     return X.resolve(table(spark, sf_dir, "events"), "props", "$.k", ["event_id"])
 
 
+def docling_items(spark, sf_dir):
+    return K.text_items(_lines(spark, sf_dir))
+
+
+def docling_pages(spark, sf_dir):
+    return K.page_documents(_lines(spark, sf_dir))
+
+
 L = """L AS (SELECT * FROM (SELECT * FROM page_lines WHERE line_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY read_at DESC NULLS LAST) = 1) WHERE entry_id IS NOT NULL AND page IS NOT NULL)"""
 _SECTION = """S AS (SELECT line_id, last_value(CASE WHEN kind = 'heading' AND trim(text, ' ') <> '' THEN trim(text, ' ') END IGNORE NULLS)
   OVER (PARTITION BY entry_id ORDER BY page, line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM L)"""
 _C = """C AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY made_at DESC NULLS LAST) = 1)"""
 
-QUERIES = {f.__name__: f for f in (line_sections, block_chunks, chunk_metadata, chunk_kinds, section_chunks, resolved_paths)}
+QUERIES = {f.__name__: f for f in (line_sections, block_chunks, chunk_metadata, chunk_kinds, section_chunks, resolved_paths, docling_items, docling_pages)}
 ORACLES = {
+    "docling_items": f"""WITH {L}, T AS (SELECT *, row_number() OVER w - 1 AS n,
+    kind = 'listItem' AND coalesce(lag(kind) OVER (PARTITION BY entry_id, page ORDER BY line_no, line_id) <> 'listItem', true) AS opens
+  FROM L WHERE kind <> 'tableCell' AND trim(text, ' ') <> '' WINDOW w AS (PARTITION BY entry_id ORDER BY page, line_no, line_id)),
+G AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY page, line_no, line_id) - 1 AS g FROM T)
+SELECT entry_id, '#/texts/' || n AS self_ref,
+  CASE WHEN kind = 'listItem' THEN '#/groups/' || CAST(g AS INT) WHEN kind IN ('header', 'footer') THEN '#/furniture' ELSE '#/body' END AS parent,
+  CASE kind WHEN 'heading' THEN 'section_header' WHEN 'listItem' THEN 'list_item' WHEN 'header' THEN 'page_header' WHEN 'footer' THEN 'page_footer'
+    WHEN 'caption' THEN 'caption' ELSE 'text' END AS label,
+  CASE WHEN kind IN ('header', 'footer') THEN 'furniture' ELSE 'body' END AS content_layer, text, page + 1 AS page_no, line_id FROM G""",
     "line_sections": f"WITH {L}, {_SECTION} SELECT line_id, section FROM S",
     "block_chunks": f"""WITH {L}, {_SECTION}, K AS (
   SELECT entry_id, page, line_no, line_id, kind, trim(text, ' ') AS text, section, kind = 'tableCell' AND table_id IS NOT NULL AS t,
