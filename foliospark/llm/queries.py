@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouped_split, leak_scan, lookalikes, mojibake, packing, segment, split_overlap, truncation
+from . import grouped_split, leak_scan, lookalikes, mojibake, names, packing, segment, split_overlap, truncation
 
 
 def _overlaps(spark, sf_dir):
@@ -100,7 +100,22 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_sources": p9_sources,
 }
+_DOCUMENT = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(translate(document, '"
+    + names._WIDE.replace("'", "''") + "　', '" + names._PLAIN.replace("'", "''") + r" ')), '[\s\p{Z}\p{Cf}]+', '', 'g'), '^.*[/\\]', ''), "
+    r"'(\.(pdf|docx?|xlsx?|pptx?|html?|txt|md|xml|epub|tiff?|gz|zip))+$', ''), '[-_.#,;:]+(p|pg|page|s|seite)[-_.=]?[0-9]{1,5}$', ''), '[^\p{L}\p{N}]+', '', 'g')"
+)
+_AUTHOR = r"array_to_string(list_sort(list_filter(string_split_regex(lower(nfc_normalize(author)), '[^\p{L}\p{N}]+'), lambda x: x <> '')), ' ')"
+_UNKNOWN = ", ".join(f"'{w}'" for w in sorted(names.NOT_KNOWN))
+
 ORACLES = {
+    "p3_found": f"""WITH RECURSIVE n AS (SELECT entry_id, source, entity_id, {_DOCUMENT} AS d, {_AUTHOR} AS a,
+  regexp_replace(lower(author), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS plain FROM manifest_docs),
+k AS (SELECT entry_id, 'd' || d AS key FROM n WHERE d <> '' UNION ALL SELECT entry_id, 'a' || a FROM n WHERE a <> '' AND plain NOT IN ({_UNKNOWN})
+  UNION ALL SELECT entry_id, 's' || source FROM n WHERE trim(source) <> '' UNION ALL SELECT entry_id, 'e' || entity_id FROM n WHERE entity_id <> 0),
+e AS (SELECT DISTINCT x.entry_id AS u, y.entry_id AS v FROM k x JOIN k y USING (key) WHERE x.entry_id <> y.entry_id),
+r AS (SELECT u AS node, v AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach)
+SELECT node AS entry_id, min(reach) AS group_id FROM r GROUP BY 1""",
     "p5_found": """SELECT DISTINCT c.chunk_id FROM chunks c
 JOIN chunk_limits l ON lower(trim(c.metadata.kind)) = lower(trim(l.kind))
 WHERE length(c.text) > l.max_chars""",
