@@ -155,6 +155,16 @@ def test_near_copy_that_ends_early(spark):
     assert got == [True]
 
 
+@pytest.mark.parametrize("text", ["holds &nb", "holds &", "caf&eac", "holds &#82", "see <a hre", "caf�", "\\u00e"])
+def test_broken_ends(text):
+    assert truncation.broken(text)
+
+
+@pytest.mark.parametrize("text", ["AT&T", "R&D", "grew by 20%", "a < b", "plain", "Smith &Company"])
+def test_whole_ends(text):
+    assert not truncation.broken(text)
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "item_kind string, row_id bigint, text string, key string")
 
