@@ -38,21 +38,20 @@ COMMON_TEXTS = 2_000
 SAME_SHARE = 0.8
 
 
-def chunk_words(tokens: list[str], known: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Digests and lengths in words of the content-defined chunks of a text."""
+def chunk_words(tokens: list[str], known: dict[str, int]) -> list[int]:
+    """Digests of the content-defined chunks of a text, the number of words in the five lowest bits."""
     if not tokens:
-        return [], []
+        return []
     h = word_hashes(tokens, known)
     with np.errstate(over="ignore"):
         rolling = mix(h + np.concatenate(([np.uint64(0)], h[:-1])) * np.uint64(3))
-    digests, lengths, start = [], [], 0
+    digests, start = [], 0
     for i, stop in enumerate(rolling % np.uint64(CUT_EVERY) == 0):
         if stop or i - start + 1 == CHUNK_WORDS or i == len(tokens) - 1:
             run = h[start : i + 1].tobytes()
-            digests.append(xxhash.xxh3_64_intdigest(run) - (1 << 63))
-            lengths.append(i - start + 1)
+            digests.append((xxhash.xxh3_64_intdigest(run) >> 5 << 5 | i - start + 1) - (1 << 63))
             start = i + 1
-    return digests, lengths
+    return digests
 
 
 def word_bits(tokens: list[str], known: dict[str, int]) -> list[int]:
@@ -70,17 +69,16 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for entry, train, text in zip(batch["entry_id"], batch["is_left"], batch["lead_text"]):
             tokens = words(text)
             if tokens:
-                digests, lengths = chunk_words(tokens, known)
                 key = xxhash.xxh3_128_digest("\x00".join(tokens))
-                out.append((entry, train, key, len(tokens), word_bits(tokens, known), digests, lengths))
-        yield pd.DataFrame(out, columns=["id", "is_left", "text_key", "n_words", "bits", "digests", "lengths"])
+                out.append((entry, train, key, len(tokens), word_bits(tokens, known), chunk_words(tokens, known)))
+        yield pd.DataFrame(out, columns=["id", "is_left", "text_key", "n_words", "bits", "digests"])
 
 
 def chunked_texts(entries: DataFrame) -> DataFrame:
     """Entries with the key of their normalised text and its chunks; entries without words are left out."""
     texts = spread(entries.where("lead_text is not null").select("entry_id", "is_left", "lead_text"))
     return texts.mapInPandas(
-        _chunked, "id bigint, is_left boolean, text_key binary, n_words int, bits array<bigint>, digests array<bigint>, lengths array<int>"
+        _chunked, "id bigint, is_left boolean, text_key binary, n_words int, bits array<bigint>, digests array<bigint>"
     )
 
 
@@ -90,11 +88,11 @@ def _verify(batches: Iterator[pd.DataFrame], same: float) -> Iterator[pd.DataFra
         keep, shares = [], []
         for a, b in zip(batch["text_a"], batch["text_b"]):
             wa, wb = words(a), words(b)
-            left, shared = Counter(zip(*chunk_words(wb, known))), 0
-            for chunk in zip(*chunk_words(wa, known)):
+            left, shared = Counter(chunk_words(wb, known)), 0
+            for chunk in chunk_words(wa, known):
                 if left[chunk] > 0:
                     left[chunk] -= 1
-                    shared += chunk[1]
+                    shared += chunk & 31
             longer = max(len(wa), len(wb))
             keep.append(shared >= CHUNK_SHARE * longer and lcs_length(wa, wb) >= same * longer)
             shares.append(shared / longer)
@@ -107,11 +105,11 @@ def _rarest(batches: Iterator[pd.DataFrame], common) -> Iterator[pd.DataFrame]:
     often = common.value
     for batch in batches:
         rows = []
-        for id_, train, held, n, digests, lengths in zip(*(batch[c] for c in ("id", "train", "held", "n_words", "digests", "lengths"))):
+        for id_, train, held, n, digests in zip(*(batch[c] for c in ("id", "train", "held", "n_words", "digests"))):
             seen = 0
             chosen = set()
-            for _, digest, length in sorted((-often.get(d, 0), d, l) for d, l in zip(digests.tolist(), lengths.tolist())):
-                seen += length
+            for _, digest in sorted((-often.get(d, 0), d) for d in digests.tolist()):
+                seen += digest & 31
                 if seen >= CHUNK_SHARE * n:
                     chosen.add(digest)
             rows += [(digest, id_, side) for digest in chosen for side, there in ((True, train), (False, held)) if there]
@@ -125,12 +123,12 @@ def near_same_texts(chunked: DataFrame, texts: DataFrame, same: float = SAME_SHA
     their words as bit sets must not differ in more places than the words that may differ.
     """
     heads = chunked.groupBy("text_key").agg(F.min("id").alias("id"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held")).drop("text_key")
-    distinct = heads.join(chunked.drop("is_left", "text_key"), "id")
+    distinct = heads.join(chunked.select("id", "n_words", "digests"), "id")
     spread = distinct.select(F.explode(F.array_distinct("digests")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     least = max(2, heads.count() // COMMON_TEXTS)
     common = {r[0]: r[1] for r in spread.where(F.col("texts") > least).collect()}
     shared = chunked.sparkSession.sparkContext.broadcast(common)
-    rare = distinct.select("id", "train", "held", "n_words", "digests", "lengths").mapInPandas(
+    rare = distinct.select("id", "train", "held", "n_words", "digests").mapInPandas(
         lambda it: _rarest(it, shared), "digest bigint, id bigint, is_left boolean"
     )
     kept = both_sides(rare, "digest").join(chunked.select("id", "n_words", "bits"), "id")
