@@ -45,12 +45,12 @@ def chunk_words(tokens: list[str], known: dict[str, int]) -> list[int]:
     h = word_hashes(tokens, known)
     with np.errstate(over="ignore"):
         rolling = mix(h + np.concatenate(([np.uint64(0)], h[:-1])) * np.uint64(3))
-    digests, start = [], 0
-    for i, stop in enumerate(rolling % np.uint64(CUT_EVERY) == 0):
-        if stop or i - start + 1 == CHUNK_WORDS or i == len(tokens) - 1:
-            run = h[start : i + 1].tobytes()
-            digests.append((xxhash.xxh3_64_intdigest(run) >> 5 << 5 | i - start + 1) - (1 << 63))
-            start = i + 1
+    raw, digests, start = h.tobytes(), [], 0
+    for end in [*(np.flatnonzero(rolling % np.uint64(CUT_EVERY) == 0) + 1).tolist(), len(tokens)]:
+        while start < end:
+            stop = min(end, start + CHUNK_WORDS)
+            digests.append((xxhash.xxh3_64_intdigest(raw[8 * start : 8 * stop]) >> 5 << 5 | stop - start) - (1 << 63))
+            start = stop
     return digests
 
 
