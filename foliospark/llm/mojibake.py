@@ -15,12 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import broadcast_if_small, cut, spread
 
-#: Words from which the classifier is trained: the most frequent ones beyond ASCII, counted over all rows.
+#: Words to which the classifier is fitted: the most frequent ones beyond ASCII.  Which words are known is looked up among all.
 TRAINING_WORDS = 8_000
 BUCKETS = 1 << 14
 #: Weight of an unseen bigram.
@@ -29,8 +29,9 @@ SMOOTHING = 0.02
 ODDS, ODDS_ALONE = -8.0, 8.0
 #: The same for a known word if the garbled one mixes alphabets in a way that looks like no ordinary word.
 ODDS_MIXED = -30.0
-#: Occurrences in the sample from which a sign, or a word that is not restorable to a more frequent one, is taken for granted.
-GRANTED = 3
+#: Share of all occurrences of words beyond ASCII, and least number, from which a sign, or a word that is not restorable
+#: to a more frequent one, is taken for granted.
+GRANTED_SHARE, GRANTED = 1e-5, 3
 #: Training passes; each drops from the clean words what the one before calls garbled.
 PASSES = 3
 
@@ -144,36 +145,58 @@ class Verdict:
     chain: int
     restored: str | None
 
+    @property
+    def strict(self) -> bool:
+        return bool(self.restored) and CHAINS[self.chain][0][0] == "utf-8"
+
 
 def core(word: str) -> str:
     """The word in lower case without ASCII punctuation around it."""
     return _CORE.match(word).group(1).lower()
 
 
+def granted(total: int) -> float:
+    """Occurrences that are taken for granted among ``total`` ones."""
+    return max(GRANTED, GRANTED_SHARE * total)
+
+
+def sign_counts(words: dict[str, int]) -> dict[str, int]:
+    """Occurrences of the signs of words."""
+    out: dict[str, int] = {}
+    for word, n in words.items():
+        for sign in set(word):
+            out[sign] = out.get(sign, 0) + n
+    return out
+
+
 class Classifier:
-    """Multinomial model over chains; the last two classes are clean words and look-alikes."""
+    """Multinomial model over chains; the last two classes are clean words and look-alikes.
+
+    ``words`` are all words; :func:`judged` fits it to some of them and looks up the others.
+    """
 
     def __init__(self, words: dict[str, int]):
         self.logs = np.zeros((len(CHAINS) + 2, BUCKETS), dtype=np.float32)
         self.memo: dict[str, Verdict | None] = {}
         self.seen: dict[str, int] = {}
+        self.granted = granted(sum(words.values()))
         for word, n in words.items():
             self.seen[core(word)] = self.seen.get(core(word), 0) + n
         counts, plain = dict(words), dict(self.seen)
-        forms = {word: self._forms(word) for word in words}
+        forms = {word: self.forms(word) for word in words}
         for _ in range(PASSES):
-            self._fit(counts, forms)
+            self.fit(counts, forms, sign_counts(counts))
             counts, known = {}, dict(plain)
             for word, n in words.items():
                 found = self.verdict(word)
                 if found is None:
                     counts[word] = n
-                elif found.restored and CHAINS[found.chain][0][0] == "utf-8":  # strictly restored words are known from then on
+                elif found.strict:  # strictly restored words are known from then on
                     known[core(found.restored)] = known.get(core(found.restored), 0) + n
             self.seen, self.memo = known, {}
 
     @staticmethod
-    def _forms(word: str) -> list[tuple[int, np.ndarray]]:
+    def forms(word: str) -> list[tuple[int, np.ndarray]]:
         """The classes a word has an example for, and the bigrams of the example."""
         out = [(-2, bigrams(word))]
         for c, chain in enumerate(CHAINS):
@@ -185,12 +208,9 @@ class Classifier:
         alike = "".join(_TO_ALIKE[s][int(draw.integers(len(_TO_ALIKE[s])))] if w and s in _TO_ALIKE else s for s, w in zip(word, swap))
         return out if alike == word else [*out, (-1, bigrams(alike))]
 
-    def _fit(self, counts: dict[str, int], forms: dict[str, list[tuple[int, np.ndarray]]]) -> None:
-        signs: dict[str, int] = {}
-        for word, n in counts.items():
-            for sign in set(word):
-                signs[sign] = signs.get(sign, 0) + n
-        self.signs = {sign for sign, n in signs.items() if n >= GRANTED}
+    def fit(self, counts: dict[str, int], forms: dict[str, list[tuple[int, np.ndarray]]], signs: dict[str, int]) -> None:
+        """Take the clean words in ``counts`` and the occurrences of signs in clean words."""
+        self.signs = {sign for sign, n in signs.items() if n >= self.granted}
         seen = np.full((len(CHAINS) + 2, BUCKETS), SMOOTHING)
         for word, n in counts.items():
             for c, places in forms[word]:
@@ -215,6 +235,18 @@ class Classifier:
         self.memo[word] = found
         return found
 
+    def asked(self, word: str) -> set[str]:
+        """The cores whose counts the verdict on the word may depend on."""
+        out = set()
+        for part in {word, _IGNORED.sub("", word), *_BLANKS.split(word)}:
+            if part.isascii() or "\ufffd" in part:
+                continue
+            scores = self.logs[:, bigrams(part)].sum(axis=1)
+            near = np.flatnonzero(scores[:-2] - max(scores[-1], scores[-2]) > min(ODDS, ODDS_MIXED))
+            texts = (restore(part, CHAINS[c]) for c in near)
+            out |= {core(part), *(core(t) for t in texts if t is not None and t != part)}
+        return out
+
     def _judge(self, word: str) -> Verdict | None:
         if "\ufffd" in word:
             return Verdict(-1, None)
@@ -241,7 +273,7 @@ class Classifier:
                 believed = known > often or all(s.isascii() or s in self.signs or s in _WESTERN for s in text)
             elif plain:
                 odds = scores[c] - clean
-                believed = (known > often and odds > (0 if len(word) == 1 else least)) or (not alike and odds > ODDS_ALONE and often < GRANTED and self._better(text, here))
+                believed = (known > often and odds > (0 if len(word) == 1 else least)) or (not alike and odds > ODDS_ALONE and often < self.granted and self._better(text, here))
             else:
                 believed = False
             if believed:
@@ -255,26 +287,89 @@ class Classifier:
         return self.logs[-2, bigrams(text)].mean() > self.logs[-2, here].mean() + 1.0
 
 
-def training_words(texts: DataFrame, words: int = TRAINING_WORDS) -> dict[str, int]:
-    """The most frequent words beyond ASCII and how often all rows hold them; at most ``words`` of them."""
-    tokens = texts.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("word"))
-    odd = tokens.where(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.contains("word", F.lit("\ufffd")) & (F.length("word") <= 64))
-    top = odd.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return {r[0]: r[1] for r in top.collect()}
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+_JUDGED = "word string, n bigint, trained boolean, chain int, restored string, known string"
+
 
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w.rlike(_BEYOND_ASCII))
 
-def train(texts: DataFrame, words: int = TRAINING_WORDS) -> Classifier:
-    """A classifier for the corpus, from at most ``words`` different words."""
-    return Classifier(training_words(texts, words))
+
+def word_counts(texts: DataFrame, words: int = TRAINING_WORDS) -> DataFrame:
+    """``word, n, trained``: all words beyond ASCII, how often all rows hold them, and whether the classifier is fitted to them."""
+    counts = cut(texts.where(F.col("text").rlike(_BEYOND_ASCII)).select(F.explode(_tokens("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    plain = counts.where(~F.contains("word", F.lit("\ufffd")) & (F.length("word") <= 64))
+    trained = plain.orderBy(F.desc("n"), "word").limit(words).select("word", F.lit(True).alias("trained"))
+    return cut(counts.join(F.broadcast(trained), "word", "left").withColumn("trained", F.coalesce("trained", F.lit(False))))
+
+
+def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"known": [core(w) for w in batch["word"]], "seen": batch["n"]})
 
 
-def repair(text: str, model: Classifier) -> tuple[str, list[int]]:
+def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame(sign_counts(dict(zip(batch["word"], batch["n"]))).items(), columns=["sign", "seen"])
+
+
+def _asked(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    model = shared.value
+    for batch in batches:
+        rows = [(w, n, t, k) for w, n, t in zip(batch["word"], batch["n"], batch["trained"]) for k in (model.asked(w) or {""})]
+        yield pd.DataFrame(rows, columns=["word", "n", "trained", "known"])
+
+
+def _judged(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    model = shared.value
+    for batch in batches:
+        rows = []
+        for word, n, trained, looked in zip(batch["word"], batch["n"], batch["trained"], batch["looked"]):
+            model.seen, model.memo = {x["known"]: x["seen"] for x in looked}, {}
+            if found := model.verdict(word):
+                rows.append((word, n, trained, found.chain, found.restored, core(found.restored) if found.strict else None))
+        yield pd.DataFrame(rows, columns=["word", "n", "trained", "chain", "restored", "known"])
+
+
+def judged(words: DataFrame) -> DataFrame:
+    """``word, n, trained, chain, restored, known``: the garbled ones among :func:`word_counts`.
+
+    The classifier is fitted on the driver to the trained words; what it looks up is joined
+    from the counts of all words, so a rare word is known like any other.
+    """
+    context = words.sparkSession.sparkContext
+    sound = words.where(~F.contains("word", F.lit("\ufffd")))
+    plain = cut(sound.mapInPandas(_cores, "known string, seen bigint").groupBy("known").agg(F.sum("seen").alias("seen")))
+    counts = {r[0]: r[1] for r in words.where("trained").select("word", "n").collect()}  # at most TRAINING_WORDS
+    model, forms = Classifier({}), {w: Classifier.forms(w) for w in counts}
+    model.granted = granted(plain.agg(F.sum("seen")).first()[0] or 0)
+    seen, clean = plain, sound
+
+    def verdicts() -> DataFrame:
+        shared = context.broadcast(model)
+        asked = spread(words).mapInPandas(lambda it: _asked(it, shared), "word string, n bigint, trained boolean, known string")
+        looked = asked.join(seen, "known", "left").groupBy("word", "n", "trained")
+        # The cores one word asks for are at most its parts times the chains.
+        return cut(looked.agg(F.collect_list(F.struct("known", F.coalesce("seen", F.lit(0)).alias("seen"))).alias("looked")).mapInPandas(lambda it: _judged(it, shared), _JUDGED))
+
+    for _ in range(PASSES):
+        signs = clean.mapInPandas(_signs, "sign string, seen bigint").groupBy("sign").agg(F.sum("seen")).collect()  # at most the signs of Unicode
+        model.fit(counts, forms, {r[0]: r[1] for r in signs})
+        found = verdicts()
+        wrong = {r[0] for r in found.where("trained").select("word").collect()}
+        counts = {r[0]: r[1] for r in words.where("trained").select("word", "n").collect() if r[0] not in wrong}
+        clean = sound.join(found.select("word"), "word", "left_anti")
+        seen = plain.unionByName(found.where("known is not null").select("known", F.col("n").alias("seen"))).groupBy("known").agg(F.sum("seen").alias("seen"))
+    return verdicts()
+
+
+def repair(text: str, verdicts: dict[str, Verdict]) -> tuple[str, list[int]]:
     """The text with every word restored that can be, and the chains met (-1: beyond repair)."""
     out, chains, at = [], [], 0
     for m in _TOKEN.finditer(text):
         if m.group().isascii():
             continue
-        found = model.verdict(m.group())
+        found = verdicts.get(m.group())
         if found:
             chains.append(found.chain)
             out += [text[at : m.start()], m.group() if found.restored is None else found.restored]
@@ -286,31 +381,33 @@ def chain_name(c: int) -> str:
     return "lost" if c < 0 else ", ".join(f"{w} as {r}" for w, r in CHAINS[c])
 
 
-def _mend(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    model = shared.value
+def _mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for kind, row_id, text in zip(batch["item_kind"], batch["row_id"], batch["text"]):
-            fixed, chains = repair(text, model)
+        for kind, row_id, text, words in zip(batch["item_kind"], batch["row_id"], batch["text"], batch["words"]):
+            fixed, chains = repair(text, {w["word"]: Verdict(w["chain"], w["restored"]) for w in words})
             if chains:
                 whole = -1 not in chains
                 rows.append((kind, row_id, fixed if whole or fixed != text else None, whole, sorted({chain_name(c) for c in chains})))
         yield pd.DataFrame(rows, columns=["item_kind", "row_id", "restored", "whole", "chains"])
 
 
-def garbled(texts: DataFrame, model: Classifier | None = None) -> DataFrame:
+def garbled(texts: DataFrame, words: int = TRAINING_WORDS) -> DataFrame:
     """``item_kind, row_id, restored, whole, chains``: every garbled row once for each of its texts.
 
     ``texts`` has ``item_kind``, ``row_id`` and ``text``.  ``restored`` is null where
     nothing could be restored, ``whole`` tells whether everything could.  Null, empty and
     plain ASCII texts are not garbled; whole texts are read; repeated rows come out
-    repeatedly; an empty table gives an empty result; further columns are ignored.
+    repeatedly; an empty table gives an empty result; further columns are ignored.  The
+    classifier is fitted to ``words`` words; every word is judged by the counts of all.
     """
     texts = texts.select("item_kind", "row_id", "text")
-    model = model or train(texts)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    return spread(texts.where(F.col("text").rlike(r"[^\x00-\x7F]"))).mapInPandas(
-        lambda it: _mend(it, shared), "item_kind string, row_id bigint, restored string, whole boolean, chains array<string>"
+    verdicts = broadcast_if_small(judged(word_counts(texts, words)).select("word", "chain", "restored"))
+    odd = texts.where(F.col("text").rlike(_BEYOND_ASCII)).withColumn("key", F.sha2("text", 256))
+    met = odd.select("key", F.explode(F.array_distinct(_tokens("text"))).alias("word")).join(verdicts, "word").dropDuplicates(["key", "word"])
+    found = met.groupBy("key").agg(F.collect_list(F.struct("word", "chain", "restored")).alias("words"))  # the words of one text
+    return odd.join(found, "key").select("item_kind", "row_id", "text", "words").mapInPandas(
+        _mend, "item_kind string, row_id bigint, restored string, whole boolean, chains array<string>"
     )
 
 

@@ -193,6 +193,16 @@ def test_garbled(spark):
     assert mojibake.garbled(pages(spark, [])).count() == 0
 
 
+def test_rare_words_are_known_beyond_the_training_words(spark):
+    letters = "abcdefghijklmnopqrst"
+    fill = [f"{a}{b}{c}{sign}{d}" for a in letters for b in letters for c in letters[:12] for sign, d in (("ñ", "a"), ("ń", "a"))]
+    rows = [("line", i, w) for i, w in enumerate(3 * fill)]
+    rows += [("line", 100_000, "montaña"), ("line", 100_001, "montaña"), ("line", 100_002, "montańa"), ("line", 100_003, "pańa")]
+    assert len(set(fill)) > mojibake.TRAINING_WORDS
+    found = {r.row_id: r.restored for r in mojibake.garbled(pages(spark, rows)).collect()}
+    assert found == {100_002: "montaña"}
+
+
 def test_classifier_on_held_out_words():
     words = {w for t in CLEAN for w in t.split() if not w.isascii()}
     model = mojibake.Classifier(dict.fromkeys(words, 20))
