@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
+from ..runtime import both_sides, cut, salted_pairs, spread
 from .words import mix, shingle_hashes, word_hashes, words
 
 BANDS, BAND_ROWS = 24, 4
@@ -236,7 +236,7 @@ def _ending(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             body = text.rstrip()
             plain = words(text)
-            sketch = bands(np.unique(shingle_hashes(word_hashes(plain, seen), SHINGLE)))
+            shingles = np.unique(shingle_hashes(word_hashes(plain, seen), SHINGLE))
             state, levels = "closed", []
             if _OMITTED.search(body):
                 state = "omitted"
@@ -247,8 +247,8 @@ def _ending(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
                 state = "fragment" if tokens.unknown(tail[-1]) else "open"
                 at = contexts(*tokens.arrays(tail))
                 levels = [int(c[-1].view(np.int64)) for c in [*at[: min(len(tail), 3)], at[-1], *at[3 : min(len(tail), LEVELS)]] if c[-1]]
-            rows.append((doc_id, xxhash.xxh3_128_hexdigest(text), len(plain), sketch, state, levels))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "bands", "state", "levels"])
+            rows.append((doc_id, xxhash.xxh3_128_hexdigest(text), len(shingles), bands(shingles), state, levels))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "bands", "state", "levels"])
 
 
 def endings(texts: DataFrame, known: dict[str, bool]) -> DataFrame:
@@ -256,7 +256,7 @@ def endings(texts: DataFrame, known: dict[str, bool]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(known)
     return texts.mapInPandas(
         lambda it: _ending(it, shared),
-        "doc_id bigint, text_key string, n_words int, bands array<bigint>, state string, levels array<bigint>",
+        "doc_id bigint, text_key string, n_shingles int, bands array<bigint>, state string, levels array<bigint>",
     )
 
 
@@ -345,19 +345,21 @@ def _align(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
 
 
 def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``key_a, key_b, early``: different texts that are near-copies, each with the longest of its band.
+    """``key_a, key_b, early``: texts that are not closed, each with every other text of its bands that is a near-copy.
 
-    Equal texts are one text here.  Every text is compared with one other text for each of
-    its bands, so a large class of copies is never expanded into all its pairs.
+    Equal texts are one text here.  Closed texts are only ``key_b``, as they never end early.
+    All pairs of a band are compared but those whose numbers of shingles rule the similarity
+    out; hot bands are salted.
     """
-    distinct = ends.where(F.size("bands") > 0).groupBy("text_key").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("t"))
-    sized = distinct.select(F.explode("t.bands").alias("band"), "text_key", F.col("t.n_words").alias("n_words"), F.col("t.doc_id").alias("doc_id"))
-    longest = sized.groupBy("band").agg(F.max(F.struct("n_words", "text_key", "doc_id")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    distinct = ends.where(F.size("bands") > 0).groupBy("text_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "state")).alias("t"))
+    sized = distinct.select(F.explode("t.bands").alias("band"), F.struct("text_key", "t.doc_id").alias("id"), F.col("t.n_shingles").alias("n"), F.col("t.state").alias("state"))
+    sides = sized.where("state <> 'closed'").withColumn("is_left", F.lit(True)).unionByName(sized.withColumn("is_left", F.lit(False)))
+    other = F.col("left_id.text_key") != F.col("right_id.text_key")
+    close = F.least("left_n", "right_n") >= F.lit(similarity) * F.greatest("left_n", "right_n")
     pairs = (
-        sized.join(longest.select("band", "top"), "band")
-        .where(F.col("text_key") != F.col("top.text_key"))
-        .select(F.col("text_key").alias("key_a"), F.col("doc_id").alias("doc_a"), F.col("top.text_key").alias("key_b"), F.col("top.doc_id").alias("doc_b"))
+        salted_pairs(both_sides(sides, "band"), "band", other & close, ("n",))
         .distinct()
+        .select(*[F.col(f"{side}_id.{c}").alias(f"{name}_{s}") for side, s in (("left", "a"), ("right", "b")) for c, name in (("text_key", "key"), ("doc_id", "doc"))])
     )
     side = lambda s: texts.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
     return pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").mapInPandas(

@@ -155,6 +155,15 @@ def test_near_copy_that_ends_early(spark):
     assert got == [True]
 
 
+def test_near_copy_beside_a_longer_text(spark):
+    a, b, c = (" ".join(f"{letter}{i}" for i in range(90)) for letter in "abc")
+    texts = documents(spark, [(1, f"{b} {a[:320]}", "s"), (2, f"{b} {a}.", "s"), (3, f"{b} {a} {c} {c.upper()} {c[::-1]}.", "s")])
+    ends = truncation.endings(texts.select("doc_id", "text"), {}).withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    key = {r.doc_id: r.text_key for r in ends.collect()}
+    got = {(r.key_a, r.key_b, r.early) for r in truncation.near_copies(texts, ends).collect()}
+    assert got == {(key[1], key[2], True)}
+
+
 @pytest.mark.parametrize("text", ["holds &nb", "holds &", "caf&eac", "holds &#82", "see <a hre", "caf�", "\\u00e"])
 def test_broken_ends(text):
     assert truncation.broken(text)
