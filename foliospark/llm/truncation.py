@@ -35,6 +35,8 @@ LEVELS = 6
 PRIOR_WEIGHT, PRIOR = 4.0, 0.05
 #: Below this share of line ends a closing context is open.
 OPEN_BELOW = 0.1
+#: Words at the end of a text that are aligned with its near-copy.
+TAIL_WORDS = 16
 #: Slots of the filter on contexts that some text ends with.
 SLOTS = 1 << 22
 
@@ -317,8 +319,36 @@ def open_endings(ends: DataFrame, counts: DataFrame) -> DataFrame:
     return seen.select("text_key", share.alias("terminality"))
 
 
+def _placed(text: str) -> list[tuple[str, int, int]]:
+    """The words of a text in lower case without signs around them, and where they start and end."""
+    return [(core.lower(), m.start(), m.end()) for m in re.finditer(r"\S+", text) if (core := _EDGES.match(m.group()).group(2))]
+
+
+def aligned_end(tail: list[str], whole: list[str]) -> int | None:
+    """The place in ``whole`` of the last word of ``tail``, aligned at the least edits; the last one if there are several.
+
+    The last word must be there or be the start of the word there; of the others a quarter may be edited.
+    """
+    ends = np.array([w.startswith(tail[-1]) for w in whole], dtype=bool)
+    if not ends.any():
+        return None
+    place = np.arange(len(whole) + 1)
+    cost = np.zeros(len(whole) + 1, dtype=np.int64)
+    other = np.array(whole, dtype=object)
+    for word in tail[:-1]:
+        step = cost + 1
+        step[1:] = np.minimum(step[1:], cost[:-1] + (other != word))
+        cost = place + np.minimum.accumulate(step - place)
+    at = np.where(ends, cost[:-1], len(tail))
+    best = int(at.min())
+    return None if 4 * best > len(tail) else int(np.flatnonzero(at == best)[-1])
+
+
 def ends_early(short: str, long: str) -> bool:
-    """Whether the other text goes on, inside a word or line, where ``short`` ends."""
+    """Whether the other text goes on, inside a word or line, where ``short`` ends.
+
+    The last signs are looked for as they are; if they are not there, the last words are aligned.
+    """
     body = _OMITTED.sub("", short.rstrip())
     if _CLOSED.search(body) or not body:
         return False
@@ -328,7 +358,25 @@ def ends_early(short: str, long: str) -> bool:
         if at >= 0:
             rest = long[at + len(tail) :]
             return bool(rest) and not rest.startswith("\n") and bool(rest.strip())
-    return False
+    return _aligned_early(body, long)
+
+
+def _aligned_early(body: str, long: str) -> bool:
+    ours, theirs = _placed(body)[-TAIL_WORDS:], _placed(long)
+    end = aligned_end([w for w, _, _ in ours], [w for w, _, _ in theirs]) if ours and theirs else None
+    if end is None:
+        return False
+    last, (word, start, stop) = ours[-1][0], theirs[end]
+    if word != last:
+        return True
+    rest = long[stop:]
+    if not rest.strip():
+        return False
+    # Where the same words end a line in one text only, lines are wrapped otherwise, and only a blank line ends one.
+    lines = lambda text, at: {a[0]: "\n" in text[a[2] : b[1]] for a, b in zip(at, at[1:])}
+    a, b = lines(body, ours), lines(long, theirs[max(0, end + 1 - TAIL_WORDS) : end + 1])
+    wrapped = any(a[w] != b[w] for w in a.keys() & b.keys())
+    return not re.match(r"[^\S\n]*\n[^\S\n]*\n" if wrapped else r"[^\S\n]*\n", rest)
 
 
 def _align(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:

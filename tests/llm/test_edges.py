@@ -164,6 +164,23 @@ def test_near_copy_beside_a_longer_text(spark):
     assert got == {(key[1], key[2], True)}
 
 
+LETTER = "The committee met on the second day of the month and agreed to send the draft to all members before the summer break"
+
+
+@pytest.mark.parametrize("text,early", [
+    (LETTER[:90].replace("send the", "send\nthe"), True), (LETTER[:90].replace("to send", "to  send"), True), (LETTER[:90].upper(), True),
+    (LETTER[:90].replace("send", "mail"), True), (LETTER[:-8].replace("all", "the"), True), (LETTER.replace("all", "our"), False),
+    (LETTER[:90].replace("draft", "plan").replace("send", "mail")[:-3] + "an office", False), ("of other things entirely the", False),
+])
+def test_end_of_an_edited_copy(text, early):
+    assert truncation.ends_early(text, LETTER) == early
+
+
+def test_end_at_a_line_of_the_copy():
+    assert not truncation.ends_early("Signed on the third of MAY, Ann", "Signed on the third of May,  Ann\nfor the board")
+    assert truncation.ends_early("one two three four five six seven", "one two three\nfour five  six seven\neight nine")
+
+
 @pytest.mark.parametrize("text", ["holds &nb", "holds &", "caf&eac", "holds &#82", "see <a hre", "caf�", "\\u00e"])
 def test_broken_ends(text):
     assert truncation.broken(text)
