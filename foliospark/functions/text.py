@@ -167,6 +167,13 @@ def wrap(c: Column, width: int) -> Column:
     return F.aggregate(words, start, step, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.array_append(s["lines"], s["line"])))
 
 
+def wrap_text(c: Column, width: int) -> Column:
+    """Lines of at most ``width`` signs of all paragraphs of a text, each on lines of its own; blank lines stay."""
+    wrapped = F.transform(F.split(c, "\n"), lambda p: wrap(p, width))
+    lines = F.flatten(F.transform(wrapped, lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w)))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(lines)
+
+
 def flag(bits: Column, position: int) -> Column:
     """Whether the bit at ``position`` (from 1) is set."""
     return bits.bitwiseAND(F.lit(1 << (position - 1))) != 0

@@ -76,13 +76,12 @@ def bates_numbers(spark, sf_dir):
 
 
 def wrapped_lines(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where("text is not null").select("doc_id", T.wrap(F.substring_index("text", "\n", 1), 40).alias("lines"))
+    rows = _docs(spark, sf_dir).where("text is not null").select("doc_id", T.wrap_text(F.col("text"), 40).alias("lines"))
     return rows.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("wrapped"))
 
 
 def code_fences(spark, sf_dir):
-    marked = F.concat(F.lit("`"), F.repeat(F.lit("`"), (F.col("doc_id") % 5).cast("int")), F.lit("x"))
-    return _docs(spark, sf_dir).select("doc_id", T.fence(marked).alias("fence"))
+    return _docs(spark, sf_dir).select("doc_id", T.fence(F.col("text")).alias("fence"))
 
 
 def page_window(spark, sf_dir):

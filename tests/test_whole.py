@@ -20,3 +20,19 @@ def test_ranges_of_all_pages(spark, tmp_path):
     rows = [(1, p) for p in (0, 1, 2, 3, 5, 6, 8)] + [(2, 2), (None, 1), (2, None)]
     got = {(r.entry_id, r["first"], r["last"]) for r in run(spark, tmp_path, "page_ranges", page_lines=(rows, "entry_id bigint, page int"))}
     assert got == {(1, 0, 3), (1, 5, 6), (1, 8, 8), (2, 2, 2)}
+
+
+DOCUMENT = "doc_id bigint, text string, lang string, source string"
+
+
+def test_wrapped_lines_of_whole_texts(spark, tmp_path):
+    long = "This paragraph  is longer than forty signs and is wrapped."
+    rows = [(1, f"Head\n\n{long}\n \nEnd", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s"), (4, "one\n", "en", "s")]
+    got = {r.doc_id: (r.n_lines, r.wrapped) for r in run(spark, tmp_path, "wrapped_lines", documents=(rows, DOCUMENT))}
+    assert got == {1: (6, "Head||This paragraph is longer than forty|signs and is wrapped.||End"), 2: (0, ""), 4: (2, "one|")}
+
+
+def test_code_fences_of_whole_texts(spark, tmp_path):
+    rows = [(1, "plain\ntext", "en", "s"), (2, "a ``` b\n````` c `", "en", "s"), (3, None, "en", "s")]
+    got = {r.doc_id: r.fence for r in run(spark, tmp_path, "code_fences", documents=(rows, DOCUMENT))}
+    assert got == {1: "```", 2: "``````", 3: "```"}
