@@ -35,10 +35,9 @@ def dedupe_exact(spark, sf_dir):
 
 
 def neighbour_similarity(spark, sf_dir):
-    rows = S.lines(table(spark, sf_dir, "page_lines")).where("kind in ('header', 'heading') and text is not null and entry_id is not null")
-    ascii_only = rows.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("entry_id", "page", "line_no", "line_id", F.lower("text").alias("text"))
+    rows = S.lines(table(spark, sf_dir, "page_lines")).where("entry_id is not null").select("entry_id", "page", "line_no", "line_id", F.lower("text").alias("text"))
     before = F.lag("text").over(Window.partitionBy("entry_id").orderBy("page", "line_no", "line_id"))
-    pairs = ascii_only.withColumn("before", before).where("before is not null")
+    pairs = rows.withColumn("before", before).where("before is not null and text is not null")
     return pairs.select("line_id", F.round(T.similarity(F.col("before"), F.col("text")), 9).alias("similarity"))
 
 

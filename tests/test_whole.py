@@ -36,3 +36,10 @@ def test_code_fences_of_whole_texts(spark, tmp_path):
     rows = [(1, "plain\ntext", "en", "s"), (2, "a ``` b\n````` c `", "en", "s"), (3, None, "en", "s")]
     got = {r.doc_id: r.fence for r in run(spark, tmp_path, "code_fences", documents=(rows, DOCUMENT))}
     assert got == {1: "```", 2: "``````", 3: "```"}
+
+
+def test_similarity_to_the_line_before(spark, tmp_path):
+    lines = [(1, 1, 0, 0, "heading", "Größe"), (2, 1, 0, 1, "body", "grösse"), (3, 1, 0, 2, "body", None), (4, 1, 1, 0, "heading", "Abc"), (5, 1, 1, 1, "heading", "abd"), (6, 2, 0, 0, "body", "alone")]
+    schema = "line_id bigint, entry_id bigint, page int, line_no int, kind string, text string, read_at timestamp"
+    got = {r.line_id: r.similarity for r in run(spark, tmp_path, "neighbour_similarity", page_lines=([(*x, None) for x in lines], schema))}
+    assert got == {2: round(1 - 2 / 6, 9), 5: round(1 - 1 / 3, 9)}
