@@ -33,16 +33,20 @@ def nearest_above(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``id, above``: the line with the nearest bottom edge over the top of each line, of those that share part of its width.
 
     Boxes are ``x0, y0, x1, y1`` with y upwards; ties are decided by id.  Lines are put
-    into bands of a page so that only neighbouring bands are compared; the reach is one
-    band beyond the line's own.
+    into bands of a page and first compared with their own band and the next; those with
+    nothing above there are compared with their whole page.
     """
     band = 100.0
     b = F.col("bbox")
     sized = rows.where(b.isNotNull() & (F.size(b) == 4)).select(*keys, "id", *[b[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
     own = sized.withColumn("band", F.floor(F.col("y1") / band))
-    other = sized.select(*keys, *[F.col(c).alias("o_" + c) for c in ("id", "x0", "y0", "x1")], F.explode(F.array(F.floor(F.col("y0") / band), F.floor(F.col("y0") / band) - 1)).alias("band"))
-    near = own.join(other, [*keys, "band"]).where("o_id <> id and o_y0 >= y1 - 0.01 and o_x0 < x1 and o_x1 > x0")
-    first = near.groupBy("id").agg(F.min(F.struct(F.round(F.col("o_y0") - F.col("y1"), 6).alias("gap"), F.col("o_id").alias("above"))).alias("n"))
+    others = sized.select(*keys, *[F.col(c).alias("o_" + c) for c in ("id", "x0", "y0", "x1")])
+    at = F.floor(F.col("o_y0") / band)
+    other = others.withColumn("band", F.explode(F.array_distinct(F.array(at, at - 1, F.floor((F.col("o_y0") + 0.01) / band)))))
+    over = "o_id <> id and o_y0 >= y1 - 0.01 and o_x0 < x1 and o_x1 > x0"
+    near = own.join(other, [*keys, "band"]).where(over).select("id", "y1", "o_id", "o_y0")
+    far = own.join(near.select("id"), "id", "left_anti").join(others, keys).where(over).select("id", "y1", "o_id", "o_y0")
+    first = near.unionByName(far).groupBy("id").agg(F.min(F.struct(F.round(F.col("o_y0") - F.col("y1"), 6).alias("gap"), F.col("o_id").alias("above"))).alias("n"))
     return first.select("id", F.col("n.above").alias("above"))
 
 

@@ -10,6 +10,12 @@ def test_union_area_counts_overlaps_once(spark):
     assert {r.page: r.area for r in G.union_area(df, ["page"]).collect()} == {1: 7.0, 3: 1.0}
 
 
+def test_nearest_above_at_any_distance(spark):
+    boxes = [(1, 1, [0.0, 40.0, 50.0, 50.0]), (1, 2, [0.0, 600.0, 50.0, 610.0]), (1, 3, [10.0, 500.0, 40.0, 510.0]), (1, 4, [200.0, 100.0, 250.0, 110.0]), (2, 5, [0.0, 700.0, 50.0, 710.0]), (1, 6, [10.0, 299.995, 40.0, 300.0]), (1, 7, [10.0, 290.0, 40.0, 300.0]), (3, 8, None)]
+    df = spark.createDataFrame(boxes, "page int, id bigint, bbox array<double>")
+    assert {r.id: r.above for r in G.nearest_above(df, ["page"]).collect()} == {1: 7, 3: 2, 6: 3, 7: 6}
+
+
 def test_tables_by_alignment(spark):
     rows = [(1, 72.0 if c == 0 else 200.0 + r, 700.0 - 16 * r, f"{r}{c}") for r in range(3) for c in range(2)] + [(1, 72.0, 500.0, "prose"), (2, 10.0, 10.0, "alone")]
     df = spark.createDataFrame(rows, "page int, x double, y double, text string")
