@@ -78,11 +78,12 @@ def passage(item: np.ndarray, doc: np.ndarray, low: int, high: int, least: int =
     runs = _runs(item, doc, low, high)
     best: tuple[int, tuple[int, int, int, int]] | None = None
     for s, (i_start, d_start, length) in enumerate(runs):
-        if length < 2:
-            continue
         ends: dict[int, tuple[int, int, int]] = {s: (0, i_start + length, d_start + length)}
+        reach = i_start + length + SHIFT
         for t in range(s + 1, len(runs)):
             ti, td, tl = runs[t]
+            if ti > reach:  # the runs are in order, so no later one is near enough either
+                break
             least_edits = None
             for edits, i_end, d_end in ends.values():
                 over = max(0, i_end - ti, d_end - td)
@@ -93,6 +94,7 @@ def passage(item: np.ndarray, doc: np.ndarray, low: int, high: int, least: int =
                     least_edits = total
             if least_edits is not None:
                 ends[t] = (least_edits, ti + tl, td + tl)
+                reach = max(reach, ti + tl + SHIFT)
         for edits, i_end, d_end in ends.values():
             span = i_end - i_start
             more = max(0, least - span)

@@ -115,6 +115,14 @@ def test_leaks(spark):
     assert leak_scan.leaks(documents(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leak_that_starts_with_one_equal_word(spark):
+    words = [f"item{k}" for k in range(24)]
+    changed = [w if k not in (1, 12) else f"other{k}" for k, w in enumerate(words)]
+    items = spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")
+    docs = documents(spark, [(1, " ".join(["pad"] * 9 + changed + ["end"] * 9), "s")])
+    assert [(r.doc_id, r.item_id) for r in leak_scan.leaks(docs, items).collect()] == [(1, 9)]
+
+
 def test_leaks_in_blocks_of_items(spark):
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(6)], "item_id bigint, text string")
     docs = documents(spark, [(i, " ".join(f"i{i}w{k}" for k in range(30)), "s") for i in range(6)])
