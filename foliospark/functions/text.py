@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,13 +138,21 @@ def coerced(c: Column) -> Column:
     return F.struct(kind.alias("type"), value.alias("value"))
 
 
+# Signs of a message that count, the mark for the rest, and the parts of
+# messages that vary with their placeholders, in the order in which they are put in.
+MESSAGE_SIGNS, MESSAGE_MORE = 120, "..."
+PLACEHOLDERS = (
+    (r"[0-9]+ 0 R", "{obj} 0 R"),
+    (r"(?i)(offset|position|index|page|object)\s+[0-9]+", "$1 {N}"),
+    (r"0x[0-9a-fA-F]+", "{hex}"),
+    (r"/[\w/.-]+\.pdf", "{path}"),
+)
+
+
 def error_pattern(c: Column) -> Column:
     """An error message with its variable parts replaced; long messages are cut first."""
-    p = F.when(F.length(c) > 120, F.concat(F.substring(c, 1, 120), F.lit("..."))).otherwise(c)
-    p = F.regexp_replace(p, r"[0-9]+ 0 R", "{obj} 0 R")
-    p = F.regexp_replace(p, r"(?i)(offset|position|index|page|object)\s+[0-9]+", "$1 {N}")
-    p = F.regexp_replace(p, r"0x[0-9a-fA-F]+", "{hex}")
-    return F.regexp_replace(p, r"/[\w/.-]+\.pdf", "{path}")
+    head = F.when(F.length(c) > MESSAGE_SIGNS, F.concat(F.left(c, F.lit(MESSAGE_SIGNS)), F.lit(MESSAGE_MORE))).otherwise(c)
+    return reduce(lambda text, part: F.regexp_replace(text, *part), PLACEHOLDERS, head)
 
 
 def pdf_date(c: Column) -> Column:

@@ -44,11 +44,15 @@ class WeightedForest:
         self.cyclic = parent[self.root] >= 0
 
 
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the largest ``order`` of each key; equal times are decided by the other columns."""
-    rest = [c for c in df.columns if c not in (*keys, order)]
-    top = F.max(F.struct(order, *rest)).alias("_top")
-    return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_top.{c}").alias(c) for c in (order, *rest)])
+def latest(df: DataFrame, keys: list[str], order: str, columns: list[str] | None = None) -> DataFrame:
+    """The row with the largest ``order`` of each key; equal times are decided by a hash of the columns.
+
+    Only the keys, ``order`` and the wanted ``columns`` (all if None) are read and shuffled.
+    """
+    rest = [c for c in (df.columns if columns is None else columns) if c not in (*keys, order)]
+    row = F.struct(*rest) if rest else F.lit(True)
+    newest = F.max_by(F.struct(order, *rest), F.struct(order, F.xxhash64(row))).alias("_top")
+    return df.select(*keys, order, *rest).groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_top.{c}").alias(c) for c in (order, *rest)])
 
 
 def resolve_links(styles: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,43 +18,82 @@ BANDS = ((0.0, 0.5), (0.5, 0.8), (0.8, 0.9), (0.9, 0.95), (0.95, 1.0))
 # Weight of a severity.
 WEIGHTS = {"critical": 10.0, "high": 5.0, "medium": 3.0, "low": 1.0}
 
-# Message fragments by category; the first match wins.
+# Fragments of lower-case messages by category, each a test (empty: any) and
+# fragments that must all be there; the first match wins.
 CATEGORIES = (
-    ("password", "encrypted"),
-    ("encrypt", "encrypted"),
-    ("timeout", "timeout"),
-    ("timed out", "timeout"),
-    ("memory", "out_of_memory"),
-    ("panic", "panic"),
-    ("xref", "invalid_xref"),
-    ("stream", "corrupt_stream"),
-    ("object", "malformed_object"),
-    ("header", "invalid_header"),
-    ("font", "font"),
-    ("image", "image"),
+    *(("", (p,), "encrypted") for p in ("decryption", "passwordprotected", "password protected", "encrypted")),
+    *(("", (p,), "out_of_memory") for p in ("out of memory", "alloc")),
+    *(("", (p,), "timeout") for p in ("timeout", "timed out")),
+    *(("", (p,), "manipulation_error") for p in ("insertion index", "merge panic", "split panic", "merge failed", "split failed")),
+    *(("manipulation", (p,), "manipulation_error") for p in ("page count", "parts, expected")),
+    *(("", (p,), "oracle_quality") for p in ("similarity", "oracle")),
+    *(("", (p,), "oracle_missing") for p in ("pdftotext", "pdfinfo")),
+    *((t, (p,), "oracle_quality") for t in ("text_oracle", "metadata_oracle") for p in ("our engine failed", "extraction", "mismatch", "page_count:", "title:", "author:")),
+    ("", ("panic",), "panic"),
+    *(("", (p,), "invalid_xref") for p in ("xref", "cross-reference")),
+    *(("", ("stream", p), "corrupt_stream") for p in ("corrupt", "invalid")),
+    *(("", (p,), "unsupported_filter") for p in ("filter", "flatedecode", "dctdecode", "jbig2", "ccitt")),
+    *(("", (p,), "invalid_header") for p in ("header", "%pdf")),
+    *(("", (p,), "malformed_object") for p in ("object", "expected", "parse", "syntax")),
+    ("", ("cmap",), "invalid_cmap"),
+    *(("", (p,), "missing_font") for p in ("font", "glyph")),
+    *(("", (p,), "encoding_error") for p in ("encoding", "utf", "codec")),
+    *(("", (p,), "unsupported_color_space") for p in ("colorspace", "color space")),
+    *(("", (p,), "transparency_error") for p in ("transparency", "blend")),
+    *(("", (p,), "image_decode_error") for p in ("image", "decode", "jpeg", "png")),
+    ("compliance", (), "compliance_violation"),
+    *(("", (p,), "invalid_form_field") for p in ("form", "field", "acroform")),
+    ("", ("annot",), "broken_annotation"),
+    *(("", (p,), "invalid_signature") for p in ("sign", "certificate")),
 )
 
+# Severity by status, then by category; all others are low.
+STATUS_SEVERITY = {"crash": "critical", "timeout": "high"}
+CATEGORY_SEVERITY = {
+    "panic": "critical", "out_of_memory": "critical", "timeout": "high",
+    "invalid_xref": "medium", "corrupt_stream": "medium", "malformed_object": "medium", "invalid_header": "medium",
+}
 
-def results(diff: DataFrame) -> DataFrame:
-    """Results in the state received last; rows without id are left out."""
-    return latest(diff.where("result_id is not null"), ["result_id"], "received_at")
+# Percent of all documents above which a cluster has the frequency score.
+FREQUENCIES = ((30, 5), (15, 4), (5, 3))
+#: Percent from which the score is 2; below it is 1.
+SELDOM = 2
 
 
-def category(message: Column) -> Column:
+def results(diff: DataFrame, *columns: str) -> DataFrame:
+    """Results in the state received last with the wanted ``columns`` (all if none is named); rows without id are left out."""
+    return latest(diff.where("result_id is not null"), ["result_id"], "received_at", list(columns) or None)
+
+
+def _chosen(value: Column, names: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), otherwise)
+
+
+def category(message: Column, test: Column | None = None) -> Column:
+    """The category of a message, 'none' without one, 'unknown' if nothing fits; some fragments hold for one ``test`` only."""
     text = F.lower(message)
     chain = F.when(message.isNull() | (message == ""), "none")
-    for part, name in CATEGORIES:
-        chain = chain.when(text.contains(part), name)
-    return chain.otherwise("other")
+    for only, parts, name in CATEGORIES:
+        if only and test is None:
+            continue
+        hit = reduce(lambda a, b: a & b, [text.contains(p) for p in parts], F.lit(True))
+        chain = chain.when(hit & (test == only) if only else hit, name)
+    return chain.otherwise("unknown")
 
 
-def severity(name: Column) -> Column:
-    return (
-        F.when(name.isin("panic", "out_of_memory"), "critical")
-        .when(name == "timeout", "high")
-        .when(name.isin("invalid_xref", "corrupt_stream", "malformed_object", "invalid_header"), "medium")
-        .otherwise("low")
-    )
+def severity(name: Column, status: Column | None = None) -> Column:
+    """The severity of a failure by its status, else by its category."""
+    by_category = _chosen(name, CATEGORY_SEVERITY, F.lit("low"))
+    return by_category if status is None else _chosen(status, STATUS_SEVERITY, by_category)
+
+
+def frequency(n: Column, total: Column) -> Column:
+    """Score 1 to 5 of a number of documents by its share of all."""
+    percent = F.coalesce(n / F.nullif(total, F.lit(0)) * 100, F.lit(0.0))
+    chain = F.when(F.lit(False), 0)
+    for above, score in FREQUENCIES:
+        chain = chain.when(percent > above, score)
+    return chain.when(percent >= SELDOM, 2).otherwise(1)
 
 
 def weight(name: Column) -> Column:
@@ -84,6 +124,10 @@ def clusters(failures: DataFrame, keys: list[str], message: str, size: str, name
     )
 
 
+#: Columns that :func:`run_summary` reads.
+SUMMARY = ("run_id", "render_verdict", "oracle_fault", "error", "render_ssim", "text_similarity")
+
+
 def band(score: Column, bands: Sequence[tuple[float, float]] = BANDS) -> Column:
     """The band of a score as ``low-high``; null outside all bands."""
     chain = F.lit(None).cast("string")
@@ -132,8 +176,9 @@ def filled_series(rows: DataFrame, key: str, step: str) -> DataFrame:
     the set of steps next to each key.
     """
     counts = rows.groupBy(key, step).agg(F.count(F.lit(1)).alias("n"))
-    steps = counts.agg(F.array_sort(F.collect_set(step)).alias("_steps"))
-    grid = counts.select(key).distinct().join(F.broadcast(steps)).select(key, F.explode("_steps").alias(step))
+    # Both sides join on a constant, so the set of steps is joined by key and not as a nested loop.
+    steps = counts.groupBy(F.lit(0).alias("_all")).agg(F.array_sort(F.collect_set(step)).alias("_steps"))
+    grid = counts.select(key, F.lit(0).alias("_all")).distinct().join(steps, "_all").select(key, F.explode("_steps").alias(step))
     return grid.join(counts, [key, step], "left").select(key, step, F.coalesce("n", F.lit(0)).alias("n"))
 
 

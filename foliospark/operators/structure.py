@@ -13,9 +13,9 @@ ORDER = ("page", "line_no", "line_id")
 FURNITURE = ("header", "footer")
 
 
-def lines(page_lines: DataFrame) -> DataFrame:
-    """Lines in their latest state; rows without id are left out."""
-    return latest(page_lines.where("line_id is not null"), ["line_id"], "read_at")
+def lines(page_lines: DataFrame, *columns: str) -> DataFrame:
+    """Lines in their latest state with the wanted ``columns`` (all if none is named); rows without id are left out."""
+    return latest(page_lines.where("line_id is not null"), ["line_id"], "read_at", list(columns) or None)
 
 
 def text_blocks(documents: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from ..operators.hierarchy import latest
 from ..runtime import table
 
 
-def _lines(spark, sf_dir):
-    return S.lines(table(spark, sf_dir, "page_lines")).where("entry_id is not null and page is not null")
+def _lines(spark, sf_dir, *columns):
+    return S.lines(table(spark, sf_dir, "page_lines"), "entry_id", "page", "line_no", "kind", "text", *columns).where("entry_id is not null and page is not null")
 
 
 def line_sections(spark, sf_dir):
@@ -21,7 +21,7 @@ def line_sections(spark, sf_dir):
 
 
 def block_chunks(spark, sf_dir):
-    return C.block_chunks(_lines(spark, sf_dir))
+    return C.block_chunks(_lines(spark, sf_dir, "table_id"))
 
 
 def chunk_metadata(spark, sf_dir):
@@ -47,11 +47,11 @@ def resolved_paths(spark, sf_dir):
 
 
 def docling_items(spark, sf_dir):
-    return K.text_items(_lines(spark, sf_dir))
+    return K.text_items(_lines(spark, sf_dir, "bbox"))
 
 
 def docling_pages(spark, sf_dir):
-    return K.page_documents(_lines(spark, sf_dir))
+    return K.page_documents(_lines(spark, sf_dir, "bbox"))
 
 
 L = """L AS (SELECT * FROM (SELECT * FROM page_lines WHERE line_id IS NOT NULL

@@ -14,12 +14,12 @@ from ..runtime import table
 from .hierarchy import _TREE
 
 
-def _lines(spark, sf_dir):
-    return S.lines(table(spark, sf_dir, "page_lines")).where("entry_id is not null and page is not null")
+def _lines(spark, sf_dir, *columns):
+    return S.lines(table(spark, sf_dir, "page_lines"), "entry_id", "page", *columns).where("entry_id is not null and page is not null")
 
 
 def table_words(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
+    rows = _lines(spark, sf_dir, "table_id", "bbox")
     hulls = S.extents(rows.where("table_id is not null"), ["entry_id", "page", "table_id"])
     outer = hulls.select("entry_id", "page", F.col("table_id").alias("box_id"), F.array("x0", "y0", "x1", "y1").alias("box"))
     inner = rows.where("bbox is not null").select("entry_id", "page", F.col("line_id").alias("id"), "bbox")
@@ -27,36 +27,36 @@ def table_words(spark, sf_dir):
 
 
 def lines_above(spark, sf_dir):
-    return G.nearest_above(_lines(spark, sf_dir).withColumnRenamed("line_id", "id"), ["entry_id", "page"])
+    return G.nearest_above(_lines(spark, sf_dir, "bbox").withColumnRenamed("line_id", "id"), ["entry_id", "page"])
 
 
 def covered_area(spark, sf_dir):
-    return G.union_area(_lines(spark, sf_dir), ["entry_id", "page"])
+    return G.union_area(_lines(spark, sf_dir, "bbox"), ["entry_id", "page"])
 
 
 def aligned_tables(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("kind = 'tableCell' and bbox is not null and text is not null")
+    rows = _lines(spark, sf_dir, "kind", "bbox", "text").where("kind = 'tableCell' and bbox is not null and text is not null")
     words = S.words(rows, ["entry_id", "page", "bbox"])
     spans = words.select("entry_id", "page", (F.col("bbox")[0] + F.col("word_no") * 60).alias("x"), F.col("bbox")[1].alias("y"), F.col("word").alias("text"))
     return G.detect_tables(spans, ["entry_id", "page"])
 
 
 def chosen_blocks(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("block is not null").groupBy("entry_id", "page", "block").agg(
+    rows = _lines(spark, sf_dir, "block", "line_no").where("block is not null").groupBy("entry_id", "page", "block").agg(
         F.count(F.lit(1)).cast("double").alias("score"), F.array_sort(F.collect_set(F.col("line_no").cast("bigint"))).alias("lines")
     )
     return G.choose(rows.withColumn("id", F.col("block").cast("bigint")), ["entry_id", "page"])
 
 
 def block_json(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("text is not null and kind is not null and line_no is not null")
+    rows = _lines(spark, sf_dir, "line_no", "kind", "text").where("text is not null and kind is not null and line_no is not null")
     one = F.to_json(F.struct("line_no", "kind", "text"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", one.alias("j")))), lambda b: b["j"])
     return rows.groupBy("entry_id", "page").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("json"))
 
 
 def page_chunks(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
+    rows = _lines(spark, sf_dir, "line_no", "kind", "text", "table_id")
     text = R.document_markdown(rows.where("text is not null").withColumn("level", F.lit(1)), ["entry_id", "page"], ["line_no", "line_id"])
     tables = rows.where("table_id is not null").groupBy("entry_id", "page").agg(F.countDistinct("table_id").alias("tables"))
     sections = rows.where("kind = 'heading' and text is not null").groupBy("entry_id", "page").agg(F.min(F.struct("line_no", "line_id", "text"))["text"].alias("section"))
@@ -76,7 +76,7 @@ def effective_outline(spark, sf_dir):
 
 def run_regressions(spark, sf_dir):
     runs = Q.with_previous(
-        Q.run_summary(Q.results(table(spark, sf_dir, "doc_differential"))), "run_id", ["total", "passed", "errors", "mean_ssim"]
+        Q.run_summary(Q.results(table(spark, sf_dir, "doc_differential"), *Q.SUMMARY)), "run_id", ["total", "passed", "errors", "mean_ssim"]
     ).where("previous_total is not null")
     now, before = F.col("errors") / F.col("total") * 100, F.col("previous_errors") / F.col("previous_total") * 100
     ok, ok_before = F.col("passed") / F.col("total") * 100, F.col("previous_passed") / F.col("previous_total") * 100
@@ -90,7 +90,7 @@ def run_regressions(spark, sf_dir):
 
 
 def known_failures(spark, sf_dir):
-    rows = Q.results(table(spark, sf_dir, "doc_differential"))
+    rows = Q.results(table(spark, sf_dir, "doc_differential"), "run_id", "entry_id", "render_verdict", "error")
     failed = rows.where("render_verdict = 'Regression' or error is not null").select("entry_id").distinct()
     return rows.join(failed, "entry_id", "left_semi").groupBy("entry_id").agg(F.countDistinct("run_id").alias("runs"))
 

@@ -10,8 +10,8 @@ from ..operators import structure as S
 from ..runtime import table
 
 
-def _lines(spark, sf_dir):
-    return S.lines(table(spark, sf_dir, "page_lines"))
+def _lines(spark, sf_dir, *columns):
+    return S.lines(table(spark, sf_dir, "page_lines"), *columns)
 
 
 def text_blocks(spark, sf_dir):
@@ -19,70 +19,70 @@ def text_blocks(spark, sf_dir):
 
 
 def block_words(spark, sf_dir):
-    return S.words(_lines(spark, sf_dir), ["line_id"])
+    return S.words(_lines(spark, sf_dir, "text"), ["line_id"])
 
 
 def line_word_counts(spark, sf_dir):
-    words = S.words(_lines(spark, sf_dir), ["line_id"])
+    words = S.words(_lines(spark, sf_dir, "text"), ["line_id"])
     return words.groupBy("line_id").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("word").rlike("[0-9]")).alias("digits"))
 
 
 def line_paragraphs(spark, sf_dir):
-    return S.paragraphs(_lines(spark, sf_dir))
+    return S.paragraphs(_lines(spark, sf_dir, "entry_id", "page", "line_no", "block", "kind", "text"))
 
 
 def furniture_keys(spark, sf_dir):
-    return S.furniture(_lines(spark, sf_dir))
+    return S.furniture(_lines(spark, sf_dir, "entry_id", "page", "text"))
 
 
 def reading_order(spark, sf_dir):
-    return S.reading_order(_lines(spark, sf_dir)).select("line_id", "index")
+    return S.reading_order(_lines(spark, sf_dir, "entry_id", "page", "line_no", "kind")).select("line_id", "index")
 
 
 def continuations(spark, sf_dir):
-    return S.continuations(_lines(spark, sf_dir))
+    return S.continuations(_lines(spark, sf_dir, "entry_id", "page", "line_no", "kind", "text"))
 
 
 def nearest_heading(spark, sf_dir):
-    return S.nearest_heading(_lines(spark, sf_dir))
+    return S.nearest_heading(_lines(spark, sf_dir, "entry_id", "page", "line_no", "kind", "text"))
 
 
 def line_context(spark, sf_dir):
-    return S.context(_lines(spark, sf_dir), ["words", "digits"])
+    return S.context(_lines(spark, sf_dir, "entry_id", "page", "line_no", "words", "digits"), ["words", "digits"])
 
 
 def list_ordinals(spark, sf_dir):
-    return S.list_ordinals(_lines(spark, sf_dir))
+    return S.list_ordinals(_lines(spark, sf_dir, "entry_id", "page", "line_no", "kind"))
 
 
 def page_extents(spark, sf_dir):
-    return S.extents(_lines(spark, sf_dir), ["entry_id", "page"])
+    return S.extents(_lines(spark, sf_dir, "entry_id", "page", "bbox"), ["entry_id", "page"])
 
 
 def clip_margins(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
+    rows = _lines(spark, sf_dir, "entry_id", "page", "bbox")
     return S.clip(rows.where(F.col("bbox").isNotNull()), S.extents(rows, ["entry_id", "page"]).drop("boxes"), 0.05)
 
 
 def table_extents(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("table_id is not null")
+    rows = _lines(spark, sf_dir, "entry_id", "page", "table_id", "bbox").where("table_id is not null")
     return S.extents(rows, ["entry_id", "page", "table_id"])
 
 
 def page_markdown(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("text is not null").withColumn("level", F.lit(2))
+    rows = _lines(spark, sf_dir, "entry_id", "page", "line_no", "kind", "text").where("text is not null").withColumn("level", F.lit(2))
     return R.document_markdown(rows, ["entry_id", "page"], ["line_no", "line_id"])
 
 
 def heading_gaps(spark, sf_dir):
     styles = table(spark, sf_dir, "style_info").where("outline is not null and style_id is not null")
-    rows = S.latest(styles, ["entry_id", "style_id"], "loaded_at").withColumn("level", F.col("outline") + 1)
+    rows = S.latest(styles, ["entry_id", "style_id"], "loaded_at", ["outline"]).withColumn("level", F.col("outline") + 1)
     return S.heading_gaps(rows, ["entry_id"], ["style_id"]).select("entry_id", "style_id", "level", "previous")
 
 
 def section_path(spark, sf_dir):
     headings = (
-        _lines(spark, sf_dir)
+        _lines(spark, sf_dir, "entry_id", "page", "line_no", "kind", "text")
         .where("kind = 'heading' and text is not null")
         .select(F.concat_ws("-", "entry_id", "page").alias("doc"), "line_no", (F.col("line_no") % 3 + 1).alias("level"), "text")
         .groupBy("doc", "line_no")
@@ -93,17 +93,17 @@ def section_path(spark, sf_dir):
 
 
 def item_markers(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("kind = 'listItem' and text is not null")
+    rows = _lines(spark, sf_dir, "kind", "text").where("kind = 'listItem' and text is not null")
     return rows.select("line_id", T.item_marker(F.col("text")).alias("marker"), T.item_text(F.col("text")).alias("item"))
 
 
 def numeric_tokens(spark, sf_dir):
-    words = S.words(_lines(spark, sf_dir).where("kind = 'tableCell'"), ["line_id"])
+    words = S.words(_lines(spark, sf_dir, "kind", "text").where("kind = 'tableCell'"), ["line_id"])
     return words.where(T.is_numeric_token(F.col("word"))).select("line_id", "word_no", T.typed_number(F.col("word")).alias("number"))
 
 
 def grid_fill_stats(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("grid_fill < 1e300")
+    rows = _lines(spark, sf_dir, "kind", "grid_fill", "grid_columns").where("grid_fill < 1e300")
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("grid_fill"), 6).alias("mean_fill"), F.max(F.when(F.col("grid_columns") < 1e300, F.col("grid_columns"))).alias("most_columns"))
 
 

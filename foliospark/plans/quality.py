@@ -3,44 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import pages as P
 from ..operators import quality as Q
 from ..runtime import table
 
 
-def _results(spark, sf_dir):
-    return Q.results(table(spark, sf_dir, "doc_differential"))
+def _results(spark, sf_dir, *columns):
+    return Q.results(table(spark, sf_dir, "doc_differential"), *columns)
 
 
 def failure_clusters(spark, sf_dir):
-    failed = _results(spark, sf_dir).where("error is not null")
+    failed = _results(spark, sf_dir, "render_verdict", "error", "pages_compared").where("error is not null")
     return Q.clusters(failed, ["render_verdict"], "error", "pages_compared", "result_id")
 
 
 def score_bands(spark, sf_dir):
-    rows = _results(spark, sf_dir).select("run_id", Q.band(F.col("render_ssim")).alias("band")).where("band is not null")
+    rows = _results(spark, sf_dir, "run_id", "render_ssim").select("run_id", Q.band(F.col("render_ssim")).alias("band")).where("band is not null")
     return rows.groupBy("run_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 def band_pivot(spark, sf_dir):
-    rows = _results(spark, sf_dir).select("run_id", Q.band(F.col("text_similarity")).alias("band"))
+    rows = _results(spark, sf_dir, "run_id", "text_similarity").select("run_id", Q.band(F.col("text_similarity")).alias("band"))
     names = [f"{a:g}-{b:g}" for a, b in Q.BANDS]
     return rows.groupBy("run_id").agg(*[F.count_if(F.col("band") == n).alias("band_" + str(i)) for i, n in enumerate(names)])
 
 
 def run_summary(spark, sf_dir):
-    return Q.run_summary(_results(spark, sf_dir))
+    return Q.run_summary(_results(spark, sf_dir, *Q.SUMMARY))
 
 
 def baseline_delta(spark, sf_dir):
-    runs = Q.with_previous(Q.run_summary(_results(spark, sf_dir)), "run_id", ["effective_rate"])
+    runs = Q.with_previous(Q.run_summary(_results(spark, sf_dir, *Q.SUMMARY)), "run_id", ["effective_rate"])
     change = F.col("effective_rate") - F.col("previous_effective_rate")
     return runs.select("run_id", F.round(change, 9).alias("change"), F.coalesce(change < -0.01, F.lit(False)).alias("regressed"))
 
 
 def verdict_trend(spark, sf_dir):
-    rows = _results(spark, sf_dir).where("render_verdict is not null and run_id is not null")
+    rows = _results(spark, sf_dir, "run_id", "render_verdict").where("render_verdict is not null and run_id is not null")
     return Q.trend(Q.filled_series(rows, "render_verdict", "run_id"), "render_verdict", "run_id", "n")
 
 
@@ -50,24 +51,24 @@ def daily_event_trend(spark, sf_dir):
 
 
 def score_tail(spark, sf_dir):
-    return _results(spark, sf_dir).groupBy("run_id").agg(
+    return _results(spark, sf_dir, "run_id", "text_similarity").groupBy("run_id").agg(
         F.median("text_similarity").alias("median"), F.percentile("text_similarity", 0.05).alias("p5"), F.count_if(F.col("text_similarity") < 0.95).alias("below_95")
     )
 
 
 def regressed_entries(spark, sf_dir):
-    rows = _results(spark, sf_dir).where("entry_id is not null")
+    rows = _results(spark, sf_dir, "entry_id", "run_ts", "render_verdict").where("entry_id is not null")
     last = rows.groupBy("entry_id").agg(F.max(F.struct("run_ts", "result_id", "render_verdict")).alias("now"), F.min(F.struct("run_ts", "result_id", "render_verdict")).alias("then"))
     return last.where("then.render_verdict = 'Match' and now.render_verdict = 'Regression'").select("entry_id", F.col("now.render_verdict").alias("verdict"))
 
 
 def unchecked_entries(spark, sf_dir):
-    return table(spark, sf_dir, "manifest_docs").select("entry_id").join(_results(spark, sf_dir).select("entry_id"), "entry_id", "left_anti")
+    return table(spark, sf_dir, "manifest_docs").select("entry_id").join(_results(spark, sf_dir, "entry_id").select("entry_id"), "entry_id", "left_anti")
 
 
 def cached_results(spark, sf_dir):
     manifest = table(spark, sf_dir, "manifest_docs").select("entry_id", "page_count")
-    best = _results(spark, sf_dir).groupBy("entry_id").agg(F.max("render_ssim").alias("best_ssim"), F.count(F.lit(1)).alias("runs"))
+    best = _results(spark, sf_dir, "entry_id", "render_ssim").groupBy("entry_id").agg(F.max("render_ssim").alias("best_ssim"), F.count(F.lit(1)).alias("runs"))
     return manifest.join(best, "entry_id", "left").select("entry_id", "page_count", "best_ssim", F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
@@ -77,7 +78,7 @@ def gold_sample(spark, sf_dir):
 
 
 def f1_sweep(spark, sf_dir):
-    rows = _results(spark, sf_dir).select("text_similarity", (F.col("text_verdict") == "Match").alias("label"))
+    rows = _results(spark, sf_dir, "text_similarity", "text_verdict").select("text_similarity", (F.col("text_verdict") == "Match").alias("label"))
     return Q.f1_sweep(rows, "text_similarity", "label")
 
 
@@ -87,14 +88,15 @@ def event_pairs(spark, sf_dir):
 
 def event_impact(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-    frequency = F.when(F.col("n") > 2000, 5).when(F.col("n") > 1500, 4).when(F.col("n") > 500, 3).when(F.col("n") >= 2, 2).otherwise(1)
-    return rows.select("event_type", "n", "users", frequency.alias("frequency"), (frequency * F.col("users")).cast("bigint").alias("score"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per type of event
+    scored = rows.withColumn("frequency", Q.frequency(F.col("n"), total))
+    return scored.select("event_type", "n", "users", "frequency", (F.col("frequency") * F.col("users")).cast("bigint").alias("score"))
 
 
 def review_queue(spark, sf_dir):
-    rows = _results(spark, sf_dir)
+    rows = _results(spark, sf_dir, "error", "text_similarity", "oracle_fault")
     bucket = (
-        F.when(F.col("error").isNotNull() & (Q.category(F.col("error")) == "other"), "unknown")
+        F.when(F.col("error").isNotNull() & (Q.category(F.col("error")) == "unknown"), "unknown")
         .when(F.col("text_similarity") < 0.5, "low")
         .when(F.col("oracle_fault"), "fault")
     )
@@ -109,7 +111,7 @@ def compared_pages(spark, sf_dir):
 
 D = """D AS (SELECT * FROM doc_differential WHERE result_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY received_at DESC NULLS LAST) = 1)"""
-_CATEGORY = "CASE WHEN error IS NULL OR error = '' THEN 'none' " + " ".join(f"WHEN contains(lower(error), '{p}') THEN '{n}'" for p, n in Q.CATEGORIES) + " ELSE 'other' END"
+_CATEGORY = "CASE WHEN error IS NULL OR error = '' THEN 'none' " + " ".join(f"WHEN {' AND '.join(f'contains(lower(error), {p!r})' for p in parts)} THEN '{n}'" for t, parts, n in Q.CATEGORIES if not t) + " ELSE 'unknown' END"
 _PATTERN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   CASE WHEN length(error) > 120 THEN left(error, 120) || '...' ELSE error END,
   '[0-9]+ 0 R', '{obj} 0 R', 'g'), '(offset|position|index|page|object)\s+[0-9]+', '\1 {N}', 'gi'), '0x[0-9a-fA-F]+', '{hex}', 'g'), '/[\w/.-]+\.pdf', '{path}', 'g')"""
@@ -174,9 +176,9 @@ SELECT bin / 20 AS threshold, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn > 0 T
     "event_pairs": """WITH E AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL)
 SELECT a.event_type AS code_a, b.event_type AS code_b, count(*) AS n FROM E a JOIN E b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type < b.event_type GROUP BY 1, 2""",
     "event_impact": """WITH E AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1),
-F AS (SELECT *, CASE WHEN n > 2000 THEN 5 WHEN n > 1500 THEN 4 WHEN n > 500 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END AS frequency FROM E)
+P AS (SELECT *, 100.0 * n / sum(n) OVER () AS pct FROM E), F AS (SELECT *, CASE WHEN pct > 30 THEN 5 WHEN pct > 15 THEN 4 WHEN pct > 5 THEN 3 WHEN pct >= 2 THEN 2 ELSE 1 END AS frequency FROM P)
 SELECT event_type, n, users, frequency, frequency * users AS score FROM F""",
-    "review_queue": f"""WITH {D}, R AS (SELECT result_id, CASE WHEN error IS NOT NULL AND {_CATEGORY} = 'other' THEN 'unknown' WHEN text_similarity < 0.5 THEN 'low'
+    "review_queue": f"""WITH {D}, R AS (SELECT result_id, CASE WHEN error IS NOT NULL AND {_CATEGORY} = 'unknown' THEN 'unknown' WHEN text_similarity < 0.5 THEN 'low'
   WHEN oracle_fault THEN 'fault' END AS bucket FROM D) SELECT * FROM R WHERE bucket IS NOT NULL""",
     "compared_pages": """WITH A AS (SELECT entry_id, page, count(DISTINCT line_id) AS n FROM page_lines WHERE entry_id IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2),
 B AS (SELECT entry_id, metadata.page AS page, count(DISTINCT chunk_id) AS n FROM chunks WHERE entry_id IS NOT NULL AND metadata.page IS NOT NULL GROUP BY 1, 2)

@@ -35,7 +35,7 @@ def dedupe_exact(spark, sf_dir):
 
 
 def neighbour_similarity(spark, sf_dir):
-    rows = S.lines(table(spark, sf_dir, "page_lines")).where("entry_id is not null").select("entry_id", "page", "line_no", "line_id", F.lower("text").alias("text"))
+    rows = S.lines(table(spark, sf_dir, "page_lines"), "entry_id", "page", "line_no", "text").where("entry_id is not null").select("entry_id", "page", "line_no", "line_id", F.lower("text").alias("text"))
     before = F.lag("text").over(Window.partitionBy("entry_id").orderBy("page", "line_no", "line_id"))
     pairs = rows.withColumn("before", before).where("before is not null and text is not null")
     return pairs.select("line_id", F.round(T.similarity(F.col("before"), F.col("text")), 9).alias("similarity"))
@@ -47,12 +47,12 @@ def search_counts(spark, sf_dir):
 
 
 def search_hits(spark, sf_dir):
-    rows = S.lines(table(spark, sf_dir, "page_lines")).where("text is not null").select("line_id", "text")
+    rows = S.lines(table(spark, sf_dir, "page_lines"), "text").where("text is not null").select("line_id", "text")
     return X.hits(rows, ["line_id"], "as")
 
 
 def pages_containing(spark, sf_dir):
-    rows = S.lines(table(spark, sf_dir, "page_lines"))
+    rows = S.lines(table(spark, sf_dir, "page_lines"), "entry_id", "page", "text")
     return rows.where(F.contains(F.lower("text"), F.lit("ledger"))).select("entry_id", (F.col("page") + 1).alias("page_no")).distinct()
 
 
@@ -84,7 +84,7 @@ def code_fences(spark, sf_dir):
 
 
 def page_window(spark, sf_dir):
-    rows = S.lines(table(spark, sf_dir, "page_lines")).select("entry_id", "page", "line_no", "line_id", F.lit(True).alias("continues_previous"))
+    rows = S.lines(table(spark, sf_dir, "page_lines"), "entry_id", "page", "line_no").select("entry_id", "page", "line_no", "line_id", F.lit(True).alias("continues_previous"))
     return P.window(rows, 1, 2, order=("page", "line_no", "line_id")).select("line_id", "continues_previous")
 
 
@@ -188,11 +188,6 @@ ORACLES = {
     "text_normalised": r"""SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0e-\x1f\x7f\r]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))) AS digest
 FROM documents WHERE text IS NOT NULL""",
     "dedupe_exact": "SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "neighbour_similarity": f"""WITH {_L}, A AS (SELECT entry_id, page, line_no, line_id, lower(text) AS text FROM L
-  WHERE kind IN ('header', 'heading') AND text IS NOT NULL AND entry_id IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-B AS (SELECT *, lag(text) OVER (PARTITION BY entry_id ORDER BY page, line_no, line_id) AS before FROM A)
-SELECT line_id, round(CASE WHEN greatest(length(before), length(text)) = 0 THEN 1.0 ELSE 1 - levenshtein(before, text) / greatest(length(before), length(text)) END, 9) AS similarity
-FROM B WHERE before IS NOT NULL""",
     "search_counts": "SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'page', ''))) // 4 AS n FROM documents WHERE contains(lower(text), 'page')",
     "search_hits": f"""WITH {_L}, H AS (SELECT line_id, text, unnest(list_filter(range(1, length(text)), lambda i: substr(lower(text), i, 2) = 'as')) AS i FROM L WHERE text IS NOT NULL)
 SELECT line_id, CAST(i - 1 AS INT) AS "offset", substr(text, i, 2) AS matched FROM H""",
@@ -203,14 +198,14 @@ FROM documents WHERE contains(text, 'Ticket')""",
   count(*) FILTER (regexp_matches(text, '{NUMBER}')) AS changed, count(*) FILTER (text IS NULL) AS unreadable FROM documents GROUP BY 1""",
     "find_replace": "SELECT doc_id, md5(replace(text, 'ledger', 'register')) AS digest FROM documents WHERE contains(text, 'ledger')",
     "bates_numbers": "SELECT doc_id, 'FOL' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 6, '0') AS stamp FROM documents",
-    "code_fences": "SELECT doc_id, repeat('`', greatest(3, CAST(doc_id % 5 + 2 AS INT))) AS fence FROM documents",
+    "code_fences": "SELECT doc_id, repeat('`', CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0)) AS INT)) AS fence FROM documents",
     "page_window": f"""WITH {_L} SELECT line_id, row_number() OVER (PARTITION BY entry_id ORDER BY page, line_no, line_id) > 1 AS continues_previous
 FROM L WHERE page >= 1 AND page < 3""",
     "page_specs": """SELECT entry_id, unnest(list_sort(list_distinct(list_append(range(1, least(3, page_count) + 1), page_count)))) ::INT AS page_no
 FROM manifest_docs WHERE page_count >= 1""",
     "page_batches": """WITH B AS (SELECT entry_id, page_count, unnest(range(1, page_count + 1, 10)) AS f FROM manifest_docs WHERE page_count IS NOT NULL)
 SELECT entry_id, CAST(f AS INT) AS "first", CAST(least(f + 9, page_count) AS INT) AS "last" FROM B""",
-    "page_ranges": f"""WITH {_P}, I AS (SELECT entry_id, page, page - row_number() OVER (PARTITION BY entry_id ORDER BY page) AS i FROM P WHERE page % 3 <> 2)
+    "page_ranges": f"""WITH {_P}, I AS (SELECT entry_id, page, page - row_number() OVER (PARTITION BY entry_id ORDER BY page) AS i FROM P)
 SELECT entry_id, min(page) AS "first", max(page) AS "last" FROM I GROUP BY entry_id, i""",
     "page_delete": f"WITH {_P} SELECT entry_id, page, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY page) - 1 AS INT) AS new_page FROM P WHERE page <> 0",
     "page_extract": f"WITH {_P} SELECT entry_id, page, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY page DESC) - 1 AS INT) AS new_page FROM P",
@@ -231,7 +226,7 @@ W AS (
 M AS (SELECT l_orderkey, max(part) AS parts FROM Q GROUP BY 1)
 SELECT q.l_orderkey, q.part, m.parts, h.header || chr(10) || string_agg(q.line, chr(10) ORDER BY q.i) AS text
 FROM Q q JOIN M m USING (l_orderkey) JOIN H h USING (l_orderkey) GROUP BY q.l_orderkey, q.part, m.parts, h.header""",
-    "grid_expand": """WITH C AS (SELECT l_orderkey, max(l_returnflag) || l_linenumber AS text, l_linenumber AS o, l_linenumber - 1 AS row, l_linenumber % 3 AS c0, l_linenumber % 2 AS s FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber),
+    "grid_expand": """WITH C AS (SELECT l_orderkey, max(l_returnflag) || l_linenumber AS text, l_linenumber AS o, l_linenumber - 1 AS row, l_linenumber % 3 AS c0, l_linenumber % 2 AS s FROM lineitem GROUP BY l_orderkey, l_linenumber),
 E AS (SELECT l_orderkey, text, o, row, unnest(range(c0, c0 + s + 1)) AS col FROM C),
 G AS (SELECT l_orderkey, row, col, arg_max(text, o) AS text FROM E GROUP BY 1, 2, 3),
 S AS (SELECT l_orderkey, max(row) AS r, max(col) AS c FROM G GROUP BY 1),

@@ -57,28 +57,34 @@ def blank_trim(c: Column) -> Column:
 
 
 def both_sides(rows: DataFrame, key: str, budget: int = 2_000_000) -> DataFrame:
-    """Rows of the keys that occur on both sides, with the number of salts ``_n`` of their key.
+    """Rows of the keys that occur on both sides, with the grid ``_nl`` by ``_nr`` of salts of their key.
 
-    ``rows`` has ``key``, ``id`` and the boolean ``is_left``.  A key with ``l`` left and
-    ``r`` right rows gets ``ceil(l * r / budget)`` salts, at most ``l``.  Null keys match nothing.
+    ``rows`` has ``key``, ``id`` and the boolean ``is_left``.  The pairs of a key fall into
+    cells of at most about ``budget`` pairs with as many left as right rows, so neither
+    side is copied more often than the other side has parts.  Null keys match nothing.
     """
     left, right = F.count_if("is_left"), F.count_if(~F.col("is_left"))
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(left.alias("_l"), right.alias("_r")).where("_l > 0 and _r > 0")
-    salts = hot.select(key, F.least(F.col("_l"), F.ceil(F.col("_l") * F.col("_r") / budget)).cast("int").alias("_n"))
-    return rows.join(salts, key)
+    cells = F.ceil(F.col("_l") * F.col("_r") / budget)
+    side = lambda mine, other: F.greatest(F.lit(1), F.least(F.col(mine), F.ceil(F.sqrt(cells * F.col(mine) / F.col(other)))))
+    parts = lambda mine, other: F.when(cells <= 1, 1).otherwise(side(mine, other)).cast("int")
+    return rows.join(hot.select(key, parts("_l", "_r").alias("_nl"), parts("_r", "_l").alias("_nr")), key)
 
 
 def salted_pairs(kept: DataFrame, key: str, keep: Column | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """``left_id, right_id``: all pairs of a left and a right row of :func:`both_sides` with the same ``key``.
 
-    Each left row takes one salt, each right row is repeated for all of them, so a hot
-    key is worked on by many tasks and every pair still comes out once.  ``keep`` tests a
-    pair by the further ``columns``, named ``left_...`` and ``right_...``, before it leaves the join.
+    A left row lies in one row of the key's grid and is repeated for its columns, a right
+    row the other way round, so a hot key is worked on by many tasks and every pair still
+    meets in one cell only.  ``keep`` tests a pair by the further ``columns``, named
+    ``left_...`` and ``right_...``, before it leaves the join.
     """
     named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("id", *columns)]
-    a = kept.where("is_left").select(key, *named("left"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_salt"))
-    b = kept.where(~F.col("is_left")).select(key, *named("right"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_salt"))
-    joined = a.join(b, [key, "_salt"])
+    drawn = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = kept.where("is_left").select(key, *named("left"), drawn("_nl").alias("_i"), every("_nr").alias("_j"))
+    b = kept.where(~F.col("is_left")).select(key, *named("right"), drawn("_nr").alias("_j"), every("_nl").alias("_i"))
+    joined = a.join(b, [key, "_i", "_j"])
     return (joined if keep is None else joined.where(keep)).select("left_id", "right_id")
 
 
