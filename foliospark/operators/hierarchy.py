@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import blank_trim, cut
+from ..runtime import blank_trim, broadcast_if_small, cut
 
 CYCLE = "(cycle)"
 #: Nodes of one sheet that one block holds at most (on average, as blocks are drawn by hash).
@@ -55,6 +55,13 @@ def latest(df: DataFrame, keys: list[str], order: str, columns: list[str] | None
     return df.select(*keys, order, *rest).groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_top.{c}").alias(c) for c in (order, *rest)])
 
 
+def latest_wide(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """:func:`latest` for wide rows of which few are sent again: only those are shuffled."""
+    several = broadcast_if_small(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    again = latest(df.join(several, keys, "left_semi"), keys, order)
+    return df.join(several, keys, "left_anti").unionByName(again)
+
+
 def resolve_links(styles: DataFrame) -> DataFrame:
     """``entry_id, style_id, name, parent``: the parent's ``style_id``, null for a root.
 
