@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-from .words import shingle_hashes, word_hashes, words
+from .words import Hashes, shingle_hashes, word_hashes, words
 
 #: Words of a seed.  Of 24 words with 2 changed, 14 lie in unchanged runs of 5 or more.
 SEED_WORDS = 5
@@ -35,7 +35,7 @@ class ItemIndex:
     """The seeds of some items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        known: dict[str, int] = {}
+        known = Hashes()
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.items = [word_hashes(words(t), known) for _, t in items]
         seeds = [shingle_hashes(h, SEED_WORDS) for h in self.items]
@@ -144,41 +144,44 @@ def passages(index: ItemIndex, doc: np.ndarray, least: int = MIN_WORDS) -> list[
 
 
 def _scan(batches: Iterator[pd.DataFrame], index, least: int) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
+    known = Hashes()
     for batch in batches:
         rows = [
-            (doc_id, *hit)
-            for doc_id, text in zip(batch["doc_id"], batch["text"])
+            (doc_id, key, *hit)
+            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"])
             for hit in passages(index.value, word_hashes(words(text), known), least)
         ]
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_from", "item_to", "doc_from", "doc_to"])
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "item_from", "item_to", "doc_from", "doc_to"])
 
 
 def item_blocks(spark: SparkSession, items: DataFrame, index_words: int = INDEX_WORDS) -> Iterator:
     """Broadcast indexes over blocks of the items, each of a checked size."""
     texts = items.select("item_id", "text").where("item_id is not null and text is not null")
-    total = texts.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = texts.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // index_words))
     for b in range(blocks):
         rows = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else texts.collect()
         yield spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in rows]))
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, index_words: int = INDEX_WORDS, keyed: bool = False) -> DataFrame:
     """``doc_id, item_id`` and the word spans of every leaked passage.
 
     A passage is ``least`` or more consecutive words of the item of which at most one in
     ten is changed, missing or added; case, spacing and punctuation do not count.  Null
     and empty texts leak nothing, repeated rows give repeated passages, empty tables an
-    empty result; whole texts are read, whatever their length.
+    empty result; whole texts are read, whatever their length.  Items above
+    ``index_words`` words are scanned for in several blocks.  ``keyed`` adds the digest of
+    the text as ``text_key``.
     """
-    schema = "doc_id bigint, item_id bigint, item_from int, item_to int, doc_from int, doc_to int"
-    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
+    schema = "doc_id bigint, text_key string, item_id bigint, item_from int, item_to int, doc_from int, doc_to int"
+    key = F.md5("text") if keyed else F.lit("")
+    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).withColumn("text_key", key)
     found = None
-    for index in item_blocks(documents.sparkSession, items):
+    for index in item_blocks(documents.sparkSession, items, index_words):
         part = docs.mapInPandas(lambda it, index=index: _scan(it, index, least), schema)
         found = part if found is None else found.unionByName(part)
-    return found
+    return found if keyed else found.drop("text_key")
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -193,30 +196,29 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return re.sub(r"[^\S\n]{2,}", " ", "".join(out))
 
 
-def cleaned(documents: DataFrame, items: DataFrame, drop_share: float = 0.5) -> DataFrame:
+def _scrub(batches: Iterator[pd.DataFrame], drop_share: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, hits in zip(batch["doc_id"], batch["text"], batch["hits"]):
+            spans = [(h["doc_from"], h["doc_to"]) for h in hits]
+            gone = {k for a, b in spans for k in range(a, b)}
+            whole = len(gone) > drop_share * len(words(text))
+            rows.append((doc_id, "drop" if whole else "cut", len({h["item_id"] for h in hits}), None if whole else _without(text, spans)))
+        yield pd.DataFrame(rows, columns=["doc_id", "action", "n_items", "clean_text"])
+
+
+def cleaned(documents: DataFrame, items: DataFrame, drop_share: float = 0.5, index_words: int = INDEX_WORDS) -> DataFrame:
     """``doc_id, action, n_items, clean_text``: documents with leaks, cut or dropped.
 
     Leaked spans are removed; a document of which more than ``drop_share`` of the words
-    leaked is dropped as a whole (``clean_text`` null).
+    leaked is dropped as a whole (``clean_text`` null).  The spans of all blocks of items
+    are put together first, so the number of blocks does not change the result.  Texts are
+    told apart by id and text; repeated rows come out repeatedly.
     """
-
-    def scrub(batches: Iterator[pd.DataFrame], index) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                tokens = words(text)
-                hits = passages(index.value, word_hashes(tokens, known))
-                if hits:
-                    gone = {k for h in hits for k in range(h[3], h[4])}
-                    whole = len(gone) > drop_share * len(tokens)
-                    rows.append((doc_id, "drop" if whole else "cut", len({h[0] for h in hits}), None if whole else _without(text, [(h[3], h[4]) for h in hits])))
-            yield pd.DataFrame(rows, columns=["doc_id", "action", "n_items", "clean_text"])
-
-    docs = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    blocks = list(item_blocks(documents.sparkSession, items))
-    if len(blocks) > 1:
-        raise ValueError("clean against one block of items at a time")
-    return docs.mapInPandas(lambda it: scrub(it, blocks[0]), "doc_id bigint, action string, n_items int, clean_text string")
-
-
+    found = leaks(documents, items, index_words=index_words, keyed=True)
+    # A document has as many passages at most as its words and the items allow; the words of one text.
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("item_id", "doc_from", "doc_to")).alias("hits"))
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("text_key", F.md5("text"))
+    return texts.join(spans, ["doc_id", "text_key"]).select("doc_id", "text", "hits").mapInPandas(
+        lambda it: _scrub(it, drop_share), "doc_id bigint, action string, n_items int, clean_text string"
+    )

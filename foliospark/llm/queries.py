@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import cut, table
 from . import grouped_split, leak_scan, lookalikes, mojibake, names, packing, segment, split_overlap, truncation
 
 
@@ -16,8 +16,21 @@ def p1_found(spark, sf_dir):
     return _overlaps(spark, sf_dir).select(*split_overlap.ordered(F.col("train_id"), F.col("held_id"))).distinct()
 
 
+def _relations(spark, sf_dir):
+    return split_overlap.relations(table(spark, sf_dir, "manifest_docs"), table(spark, sf_dir, "doc_differential"))
+
+
 def p1_report(spark, sf_dir):
-    return split_overlap.overlap_report(_overlaps(spark, sf_dir), table(spark, sf_dir, "manifest_docs"))
+    manifest = table(spark, sf_dir, "manifest_docs")
+    return split_overlap.overlap_report(cut(_relations(spark, sf_dir)), split_overlap.overlap_fractions(manifest), manifest)
+
+
+def p1_classes(spark, sf_dir):
+    return split_overlap.overlap_classes(_relations(spark, sf_dir))
+
+
+def p1_fractions(spark, sf_dir):
+    return split_overlap.overlap_fractions(table(spark, sf_dir, "manifest_docs"))
 
 
 def p3_found(spark, sf_dir):
@@ -34,7 +47,8 @@ def _page_texts(spark, sf_dir):
 
 def p2_found(spark, sf_dir):
     texts = _page_texts(spark, sf_dir)
-    wrong = mojibake.garbled(texts).select("item_kind", "row_id").distinct()
+    # Only rows that may be a case here are looked at again; the words are counted over all.
+    wrong = mojibake.garbled(texts, lookalikes.suspicious).select("item_kind", "row_id").distinct()
     return lookalikes.unified(texts).select("item_kind", "row_id").distinct().join(wrong, ["item_kind", "row_id"], "left_anti")
 
 
@@ -85,6 +99,8 @@ def p9_sources(spark, sf_dir):
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p1_classes": p1_classes,
+    "p1_fractions": p1_fractions,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,

@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ..operators.hierarchy import latest
+from ..operators.hierarchy import latest_wide
 from ..runtime import blank_trim, broadcast_if_small
 
 #: Words of the blocks that are compared before and after a gap.
@@ -72,7 +73,7 @@ def cut_points(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of the pieces of ``text``: each within ``most`` signs, each beginning ``overlap`` before the last one's end."""
     if len(text) <= most:
         return [(0, len(text))]
-    overlap = min(max(overlap, 0), (most - 1) // 2)
+    overlap = min(max(overlap, 0), most - 1)
     at = gaps(text)
     depth = valleys(text, at)
     places = np.array(at, dtype=np.int64)
@@ -92,13 +93,12 @@ def cut_points(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     return [*spans, (start, len(text))]
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for chunk_id, text, most, overlap in zip(batch["chunk_id"], batch["text"], batch["max_chars"], batch["overlap_chars"]):
-            spans = cut_points(text, int(most), int(overlap))
-            rows += [(chunk_id, i, len(spans), a, b, text[a:b]) for i, (a, b) in enumerate(spans)]
-        yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "n_pieces", "start", "end", "text"])
+@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType())))
+def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, most, overlap in batches:
+        yield pd.Series(
+            [None if t is None else [{"start": a, "end": b} for a, b in cut_points(t, int(m), int(o))] for t, m, o in zip(texts, most, overlap)], dtype=object
+        )
 
 
 def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -115,27 +115,24 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
     A chunk with more signs (code points) than the limit of its kind is cut into pieces
     within the limit; each piece but the first begins ``overlap_chars`` before the end of
-    the one before (less than half of the limit at most).  Other chunks come out as one
-    piece.  Of resent chunks the latest ``made_at`` counts; chunks without id or text are
-    left out; kinds that are null, unknown or without limit are not cut; an empty text is
-    one empty piece; an empty table gives an empty result.
+    the one before, as specified even inside a word (an overlap that leaves no room is
+    taken as one sign less than the limit).  Other chunks come out as one piece.  Of resent
+    chunks the latest ``made_at`` counts; chunks without id or text are left out; kinds
+    that are null, unknown or without limit are not cut; an empty text is one empty piece;
+    an empty table gives an empty result.
     """
-    rows = latest(chunks.select("chunk_id", "text", "metadata", "made_at").where("chunk_id is not null and text is not null"), ["chunk_id"], "made_at")
-    sized = with_limits(rows, limits)
+    rows = chunks.select("chunk_id", "text", "metadata", "made_at").where("chunk_id is not null and text is not null")
+    sized = with_limits(latest_wide(rows, ["chunk_id"], "made_at"), limits)
     over = F.coalesce(F.length("text") > F.col("max_chars"), F.lit(False))
-    whole = sized.where(~over).select(
-        "chunk_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), "text", "metadata"
-    )
-    large = sized.where(over)
-    pieces = large.select("chunk_id", "text", "max_chars", "overlap_chars").mapInPandas(
-        _cut, "chunk_id bigint, piece_no int, n_pieces int, start int, end int, text string"
-    )
-    return whole.unionByName(pieces.join(large.select("chunk_id", "metadata"), "chunk_id"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+    # Texts within their limit do not leave the JVM.
+    cut_up = sized.withColumn("spans", _spans(F.when(over, F.col("text")), F.coalesce("max_chars", F.lit(0)), F.coalesce("overlap_chars", F.lit(0))))
+    spans = cut_up.withColumn("spans", F.coalesce("spans", whole))
+    pieces = spans.select("chunk_id", F.size("spans").alias("n_pieces"), F.posexplode("spans").alias("piece_no", "s"), "text", "metadata")
+    start, end = F.col("s.start"), F.col("s.end")
+    return pieces.select("chunk_id", "piece_no", "n_pieces", start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("text"), "metadata")
 
 
 def oversized_ids(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """``chunk_id`` of the chunks that were cut; the metadata are not read for that."""
-    rows = chunks.select("chunk_id", "text", "metadata").where("chunk_id is not null and text is not null")
-    large = with_limits(rows, limits).where("length(text) > max_chars").select("chunk_id", "text", "max_chars", "overlap_chars")
-    pieces = large.mapInPandas(_cut, "chunk_id bigint, piece_no int, n_pieces int, start int, end int, text string")
-    return pieces.where("n_pieces > 1").select("chunk_id").distinct()
+    """``chunk_id`` of the chunks that :func:`split_oversized` cuts."""
+    return split_oversized(chunks, limits).where("n_pieces > 1").select("chunk_id").distinct()

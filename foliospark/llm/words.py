@@ -19,17 +19,19 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
-def word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
+class Hashes(dict):
+    """64-bit hashes of words, worked out once; emptied when it holds many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_hashes(tokens: list[str], known: Hashes) -> np.ndarray:
     """64-bit hashes of the tokens; ``known`` keeps what was hashed before."""
-    out = np.empty(len(tokens), dtype=np.uint64)
-    for i, t in enumerate(tokens):
-        h = known.get(t)
-        if h is None:
-            h = known[t] = xxhash.xxh3_64_intdigest(t)
-        out[i] = h
-    if len(known) > 500_000:
-        known.clear()
-    return out
+    return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def mix(a: np.ndarray) -> np.ndarray:
