@@ -100,7 +100,8 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out["n_words"] = sizes.astype(np.int32)
         for name, column in zip(_BITS, word_bits(h, sizes).T):
             out[name] = column
-        out["digests"] = np.split(digests.view(np.int64), np.searchsorted(owner, np.arange(1, len(tokens)))) if tokens else []
+        each = np.split(digests.view(np.int64), np.searchsorted(owner, np.arange(1, len(tokens)))) if tokens else []
+        out["digests"] = pd.Series(each, index=out.index, dtype=object)
         yield out
 
 

@@ -1,9 +1,13 @@
 """Text cut off by field limits.
 
-Near-copies are found by min-hash banding over five-word shingles; verified pairs are
-aligned and the copy whose alignment ends early, inside a word or line of the other, is
+Near-copies are found by min-hash banding over five-word shingles, of the whole texts and
+of their beginnings in growing lengths, as a cut copy is like the beginning of the other.
+Pairs are verified by the share of the shorter text's shingles that the other holds, and
+aligned; the copy whose alignment ends early, inside a word or line of the other, is
 flagged.  All other texts are scored by the terminality of their closing words: how
-often, over the whole corpus, the same last words end a line rather than go on.
+often, over the whole corpus, the same last words end a line rather than go on.  Marks of
+omission, broken units and words known nowhere else never end a text, so their
+terminality is nil.
 """
 
 from __future__ import annotations
@@ -18,13 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import both_sides, cut, salted_pairs, spread
-from .words import mix, shingle_hashes, word_hashes, words
+from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs, spread
+from .words import Hashes, mix, shingle_hashes, word_hashes, words
 
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 8, 3
 SHINGLE = 5
+#: Share of the shorter text's shingles that a near-copy holds.
 SIMILARITY = 0.8
-#: A word counts as known if it stands in this share of the texts, and in at least LEAST_TEXTS, outside their last word.
+#: Words of the shortest beginning that is compared, and how much longer each next one is.
+FIRST_RUNG, RUNG_GROWTH = 8, 1.5
+#: Words that a near-copy which goes on may have less, through words missing inside.
+SLACK = 2
+#: Words at the end that tell apart texts of one band.
+CLASS_WORDS = 8
+#: A word counts as known to the contexts if it stands in this share of the texts, outside their last word, and as a word at
+#: all if it stands in LEAST_TEXTS of them.
 KNOWN_SHARE, LEAST_TEXTS = 0.0005, 3
 #: A word whose capitals stand inside sentences in at least this share of the texts with capitals is a name or noun;
 #: names and nouns are told apart by their case only.
@@ -37,8 +49,8 @@ PRIOR_WEIGHT, PRIOR = 4.0, 0.05
 OPEN_BELOW = 0.1
 #: Words at the end of a text that are aligned with its near-copy.
 TAIL_WORDS = 16
-#: Slots of the filter on contexts that some text ends with.
-SLOTS = 1 << 22
+#: Bits for each value of a filter, and the most a filter has; beyond that it lets more values pass, never fewer.
+FILTER_BITS, FILTER_MOST = 16, 1 << 27
 
 _OMITTED = re.compile(r"\s*(\[\s*(\.{2,}|…)\s*\]|\(\s*(\.{2,}|…)\s*\)|\.{2,}|…)\s*$")
 _BROKEN = re.compile(r"(<[A-Za-z/!][^<>\n]{0,200}|\\u[0-9a-fA-F]{0,3}|�)$")
@@ -51,21 +63,34 @@ _PIECE = re.compile(r"\n|[^\s]+")
 _SEED = np.random.default_rng(20240607)
 _MULT = _SEED.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 _PLUS = _SEED.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """Band digests of the min-hash signature of some shingles."""
+def rungs(n_words: int) -> np.ndarray:
+    """Lengths, in words, of the beginnings of a text of so many words."""
+    out, at = [], float(FIRST_RUNG)
+    while at <= n_words:
+        out.append(int(at))
+        at *= RUNG_GROWTH
+    return np.array(out, dtype=np.int64)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """Band digests of a text's shingles in order: one row for each beginning, the last one for the whole text."""
     if len(shingles) == 0:
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        return np.empty((0, BANDS), dtype=np.uint64)
+    ends = np.append(rungs(len(shingles) + SHINGLE - 1) - SHINGLE + 1, len(shingles))
+    least, before, low = np.empty((len(ends), BANDS * BAND_ROWS), dtype=np.uint64), 0, np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for part in np.array_split(shingles, 1 + len(shingles) // 4096):
-            h = part[:, None] * _MULT + _PLUS
-            least = np.minimum(least, (h ^ (h >> np.uint64(29))).min(axis=0))
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for column in least.reshape(BANDS, BAND_ROWS).T:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64).tolist()
+        for i, end in enumerate(ends):
+            for part in range(before, end, 4096):
+                h = shingles[part : min(end, part + 4096), None] * _MULT + _PLUS
+                low = np.minimum(low, (h ^ (h >> np.uint64(29))).min(axis=0))
+            least[i], before = low, end
+        key = _BAND + np.append(np.arange(1, len(ends), dtype=np.uint64), np.uint64(0))[:, None]
+        for row in range(BAND_ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, row::BAND_ROWS])
+    return key
 
 
 def split_token(token: str) -> tuple[str, str]:
@@ -213,44 +238,51 @@ def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def known_words(texts: DataFrame) -> dict[str, bool]:
-    """Words in at least KNOWN_SHARE of the texts, and whether their capitals only mark the start of a sentence.
-
-    A text has so many different words at most as it has tokens, so texts of ``w`` tokens
-    on average know ``w / KNOWN_SHARE`` words at most, whatever their number.
-    """
-    n = texts.count()
-    counts = (
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, texts, first, inner``: in how many texts each word stands outside the last place, with a capital at a sentence start, and inside."""
+    return (
         texts.select("text")
         .mapInPandas(_known_words, "word string, texts bigint, first bigint, inner bigint")
         .groupBy("word")
         .agg(*[F.sum(c).alias(c) for c in ("texts", "first", "inner")])
+        .where(F.col("texts") >= LEAST_TEXTS)
     )
-    floor = max(LEAST_TEXTS, int(KNOWN_SHARE * n))
-    rows = counts.where(F.col("texts") >= floor).select("word", F.col("inner") < NAME_SHARE * (F.col("first") + F.col("inner"))).collect()
-    return {r[0]: r[1] for r in rows}
+
+
+def known_words(counts: DataFrame, n_texts: int) -> dict[str, bool]:
+    """Words in at least KNOWN_SHARE of the texts, and whether their capitals only mark the start of a sentence.
+
+    A text has so many different words at most as it has tokens, so texts of ``w`` tokens
+    on average know ``w / KNOWN_SHARE`` words at most, whatever their number.
+    """
+    often = counts.where(F.col("texts") >= max(LEAST_TEXTS, int(KNOWN_SHARE * n_texts)))
+    return {r[0]: r[1] for r in often.select("word", F.col("inner") < NAME_SHARE * (F.col("first") + F.col("inner"))).collect()}
 
 
 def _ending(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
-    tokens, seen = Tokens(known.value), {}
+    tokens, seen = Tokens(known.value), Hashes()
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
             body = text.rstrip()
             plain = words(text)
-            shingles = np.unique(shingle_hashes(word_hashes(plain, seen), SHINGLE))
-            state, levels = "closed", []
+            hashes = word_hashes(plain, seen)
+            digests = bands(shingle_hashes(hashes, SHINGLE)).view(np.int64)
+            state, levels, rare = "closed", [], None
             if _OMITTED.search(body):
                 state = "omitted"
             elif broken(body):
                 state = "broken"
             elif not _CLOSED.search(body):
                 tail = pieces(body)[-LEVELS - 1 :]
-                state = "fragment" if tokens.unknown(tail[-1]) else "open"
+                state = "open"
+                rare = split_token(tail[-1])[0] if tokens.unknown(tail[-1]) else None
                 at = contexts(*tokens.arrays(tail))
                 levels = [int(c[-1].view(np.int64)) for c in [*at[: min(len(tail), 3)], at[-1], *at[3 : min(len(tail), LEVELS)]] if c[-1]]
-            rows.append((doc_id, xxhash.xxh3_128_hexdigest(text), len(shingles), bands(shingles), state, levels))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "bands", "state", "levels"])
+            end = int(mix(np.add.reduce(hashes[-CLASS_WORDS:] * np.arange(1, min(CLASS_WORDS, len(hashes)) + 1, dtype=np.uint64), keepdims=True)).view(np.int64)[0])
+            # The bands under which a text looks for others: those of its longest beginning and of the whole.
+            rows.append((doc_id, key, len(plain), plain[-1][:64] if plain else "", end, digests.ravel(), digests[-2:].ravel() if state != "closed" else [], state, rare, levels))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "last_word", "end_key", "bands", "own", "state", "rare", "levels"])
 
 
 def endings(texts: DataFrame, known: dict[str, bool]) -> DataFrame:
@@ -258,22 +290,49 @@ def endings(texts: DataFrame, known: dict[str, bool]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(known)
     return texts.mapInPandas(
         lambda it: _ending(it, shared),
-        "doc_id bigint, text_key string, n_shingles int, bands array<bigint>, state string, levels array<bigint>",
+        "doc_id bigint, text_key string, n_words int, last_word string, end_key bigint, bands array<bigint>, own array<bigint>, state string, rare string, levels array<bigint>",
     )
 
 
+class Filter:
+    """A bitmap over the low bits of some 64-bit values: what is not in it is none of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.low = words, np.uint64(64 * len(words) - 1)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = values & self.low
+        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def filter_of(values: DataFrame, column: str) -> Filter:
+    """The filter of a column of bigints, FILTER_BITS bits for each of them and FILTER_MOST at most, put together by the executors."""
+    n = values.count()
+    size = min(FILTER_MOST, max(1 << 10, 1 << (n * FILTER_BITS).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(size - 1).cast("bigint"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    rows = values.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_MOST / 64 rows at most
+    words = np.zeros(size // 64, dtype=np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return Filter(words.view(np.uint64))
+
+
 def _count(batches: Iterator[pd.DataFrame], known, wanted) -> Iterator[pd.DataFrame]:
-    tokens, mask = Tokens(known.value), wanted.value
+    tokens, some = Tokens(known.value), wanted.value
     for batch in batches:
         tokens_here: list[str] = []
         for text in batch["text"]:
             tokens_here += pieces(text)
         code, shape = tokens.arrays([*tokens_here, "\n"])
         ends = np.concatenate((code[1:] == Tokens.NEWLINE, [True]))
-        found = []
-        for level in contexts(code, shape):
-            use = mask[level % np.uint64(SLOTS)]
+        found, use = [], np.arange(len(code))
+        *nested, line = contexts(code, shape)
+        for level in nested:
+            # A text that closes with a context also closes with each shorter one.
+            use = use[some.has(level[use])]
             found.append((level[use], ends[use]))
+        use = np.flatnonzero(some.has(line) & (line != 0))
+        found.append((line[use], ends[use]))
         h, e = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         keys, place = np.unique(h, return_inverse=True)
         yield pd.DataFrame({"h": keys.view(np.int64), "seen": np.bincount(place, minlength=len(keys)), "ended": np.bincount(place, weights=e, minlength=len(keys)).astype(np.int64)})
@@ -282,20 +341,11 @@ def _count(batches: Iterator[pd.DataFrame], known, wanted) -> Iterator[pd.DataFr
 def context_counts(texts: DataFrame, ends: DataFrame, known: dict[str, bool]) -> DataFrame:
     """``h, seen, ended``: occurrences, and those at a line end, of all contexts some text closes with.
 
-    A bitmap of fixed size keeps most other contexts out of the shuffle.
+    A filter keeps most other contexts out of the shuffle; the counts do not depend on it.
     """
-    slots = (
-        ends.where("state = 'open'")
-        .select(F.explode("levels").alias("h"))
-        .select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
-        .distinct()
-        .toPandas()["slot"]
-        .to_numpy()
-    )  # at most SLOTS numbers
-    mask = np.zeros(SLOTS, dtype=bool)
-    mask[slots] = True
     context = texts.sparkSession.sparkContext
-    shared, wanted = context.broadcast(known), context.broadcast(mask)
+    levels = ends.where("state = 'open'").select(F.explode("levels").alias("h")).distinct()
+    shared, wanted = context.broadcast(known), context.broadcast(filter_of(levels, "h"))
     return (
         texts.select("text")
         .mapInPandas(lambda it: _count(it, shared, wanted), "h bigint, seen bigint, ended bigint")
@@ -380,65 +430,97 @@ def _aligned_early(body: str, long: str) -> bool:
 
 
 def _align(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    seen: dict[str, int] = {}
+    seen = Hashes()
     for batch in batches:
-        keep = []
+        out = []
         for a, b in zip(batch["text_a"], batch["text_b"]):
             sa, sb = (np.unique(shingle_hashes(word_hashes(words(t), seen), SHINGLE)) for t in (a, b))
-            both = len(np.intersect1d(sa, sb, assume_unique=True))
-            near = both >= similarity * (len(sa) + len(sb) - both)
-            keep.append((near, near and ends_early(a, b)))
-        out = pd.DataFrame({"key_a": batch["key_a"], "key_b": batch["key_b"], "near": [k[0] for k in keep], "early": [k[1] for k in keep]})
-        yield out[out["near"]][["key_a", "key_b", "early"]]
+            near = len(np.intersect1d(sa, sb, assume_unique=True)) >= similarity * min(len(sa), len(sb))
+            out.append((near, near and ends_early(a, b)))
+        yield batch[["key_a", "key_b"]].assign(near=[x[0] for x in out], early=[x[1] for x in out])
+
+
+def _in_bands(batches: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]:
+    some = wanted.value
+    for batch in batches:
+        sizes = batch["bands"].map(len).to_numpy()
+        digest = np.concatenate([np.empty(0, dtype=np.int64), *batch["bands"]])
+        owner = np.repeat(np.arange(len(batch)), sizes)
+        kept = some.has(digest.view(np.uint64))
+        yield batch.drop(columns="bands").iloc[owner[kept]].assign(band=digest[kept])
 
 
 def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``key_a, key_b, early``: texts that are not closed, each with every other text of its bands that is a near-copy.
+    """``key_a, key_b, near, early``: texts that are not closed, with a text of their bands that may go on where they end.
 
-    Equal texts are one text here.  Closed texts are only ``key_b``, as they never end early.
-    All pairs of a band are compared but those whose numbers of shingles rule the similarity
-    out; hot bands are salted.
+    Equal texts are one text here.  The other text must be longer, or end in a longer form
+    of the same last word.  Within a band texts with the same last words are one class, and
+    a text is compared with the first of the largest class first.  Only texts that do not
+    prove cut by that are compared with all other texts of their bands, so a large family
+    of near-copies costs one comparison for each that was cut, and no link is lost.
     """
-    distinct = ends.where(F.size("bands") > 0).groupBy("text_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "state")).alias("t"))
-    sized = distinct.select(F.explode("t.bands").alias("band"), F.struct("text_key", "t.doc_id").alias("id"), F.col("t.n_shingles").alias("n"), F.col("t.state").alias("state"))
-    sides = sized.where("state <> 'closed'").withColumn("is_left", F.lit(True)).unionByName(sized.withColumn("is_left", F.lit(False)))
-    other = F.col("left_id.text_key") != F.col("right_id.text_key")
-    close = F.least("left_n", "right_n") >= F.lit(similarity) * F.greatest("left_n", "right_n")
-    pairs = (
-        salted_pairs(both_sides(sides, "band"), "band", other & close, ("n",))
-        .distinct()
-        .select(*[F.col(f"{side}_id.{c}").alias(f"{name}_{s}") for side, s in (("left", "a"), ("right", "b")) for c, name in (("text_key", "key"), ("doc_id", "doc"))])
-    )
-    side = lambda s: texts.select(F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").mapInPandas(
-        lambda it: _align(it, similarity), "key_a string, key_b string, early boolean"
+    facts = ["text_key", "n_words", "last_word", "end_key"]
+    asked = cut(ends.select(*facts, F.explode("own").alias("band")).distinct())
+    wanted = texts.sparkSession.sparkContext.broadcast(filter_of(asked.select("band").distinct(), "band"))
+    rows = "text_key string, n_words int, last_word string, end_key bigint, band bigint"
+    there = cut(ends.select(*facts, "bands").mapInPandas(lambda it: _in_bands(it, wanted), rows).distinct())
+    goes_on = (F.col("left_end_key") != F.col("right_end_key")) & (
+        (F.col("right_n_words") > F.col("left_n_words"))
+        | (F.col("right_n_words") >= F.col("left_n_words") - SLACK)
+        & F.startswith("right_last_word", "left_last_word")
+        & (F.col("right_last_word") != F.col("left_last_word"))
     )
+    columns = ("n_words", "last_word", "end_key")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = left.select("band", F.struct(F.lit(0).cast("bigint").alias("size"), "n_words", "text_key").alias("id"), *columns, F.lit(True).alias("is_left"))
+        sides = sides.unionByName(right.select("band", F.struct("size", "n_words", "text_key").alias("id"), *columns, F.lit(False).alias("is_left")))
+        found = salted_pairs(both_sides(sides, "band"), "band", goes_on, columns)
+        return found.select(F.col("left_id.text_key").alias("key_a"), F.col("right_id").alias("b"))
+
+    side = lambda s: texts.select(F.col("text_key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}")).dropDuplicates([f"key_{s}"])
+
+    def compared(found: DataFrame) -> DataFrame:
+        met = cut(found)
+        some = lambda s: side(s).join(broadcast_if_small(met.select(f"key_{s}").distinct()), f"key_{s}", "left_semi")
+        return cut(met.join(some("a"), "key_a").join(some("b"), "key_b").mapInPandas(lambda it: _align(it, similarity), "key_a string, key_b string, near boolean, early boolean"))
+
+    classes = there.groupBy("band", "end_key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n_words", "text_key", "last_word")).alias("t")).select("band", "end_key", "size", "t.*")
+    first = compared(pairs(asked, classes).groupBy("key_a").agg(F.max("b").alias("b")).select("key_a", F.col("b.text_key").alias("key_b")))
+    open_yet = first.where("not early").select(F.col("key_a").alias("text_key"))
+    if open_yet.isEmpty():
+        return first
+    rest = pairs(asked.join(open_yet, "text_key", "left_semi"), there.withColumn("size", F.lit(0).cast("bigint"))).select("key_a", F.col("b.text_key").alias("key_b")).distinct()
+    return first.unionByName(compared(rest.join(first, ["key_a", "key_b"], "left_anti")))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """``doc_id, source, reason``: every document whose text was cut, copies included.
 
-    ``reason`` is 'omitted' (a mark of omission ends it), 'broken' (it ends inside an
-    entity, a tag or a character), 'copy' (a near-copy goes on), 'fragment' (the last
-    word is known nowhere else) or 'open' (the closing words hardly ever end a line).
+    ``reason`` is 'copy' (a near-copy goes on), 'omitted' (a mark of omission ends it),
+    'broken' (it ends inside an entity, a tag or a character), 'fragment' (the last word
+    is known nowhere else) or 'open' (the closing words hardly ever end a line).
     Null and blank texts are not cut; of repeated ids each text counts; an empty table
     gives an empty result; whole texts are read.
     """
-    texts = spread(documents.select("doc_id", "source", "text").where("doc_id is not null and trim(text) <> ''"))
-    known = known_words(texts)
-    ends = cut(endings(texts.select("doc_id", "text"), known))
+    texts = spread(documents.select("doc_id", "source", "text").where("doc_id is not null and trim(text) <> ''")).withColumn("text_key", F.md5("text"))
+    counts = cut(word_counts(texts))
+    known = known_words(counts, texts.count())
+    ends = cut(endings(texts.select("doc_id", "text_key", "text"), known))
     scored = open_endings(ends, context_counts(texts, ends, known))
-    early = near_copies(texts.select("doc_id", "text").dropDuplicates(["doc_id"]), ends).where("early").select(F.col("key_a").alias("text_key")).distinct().withColumn("copy", F.lit(True))
+    early = near_copies(texts.select("text_key", "text"), ends).where("early").select(F.col("key_a").alias("text_key")).distinct().withColumn("copy", F.lit(True))
+    words_there = counts.select(F.col("word").alias("rare"), F.lit(True).alias("word_there"))
     reason = (
-        F.when(F.col("state").isin("omitted", "broken", "fragment"), F.col("state"))
-        .when(F.col("copy"), "copy")
+        F.when(F.col("copy"), "copy")
+        .when(F.col("state").isin("omitted", "broken"), F.col("state"))
+        .when(F.col("rare").isNotNull() & F.col("word_there").isNull(), "fragment")
         .when((F.col("state") == "open") & (F.coalesce("terminality", F.lit(0.0)) < OPEN_BELOW), "open")
     )
-    judged = ends.join(early, "text_key", "left").join(scored, "text_key", "left").withColumn("reason", reason).where("reason is not null")
+    judged = ends.select("text_key", "state", "rare").join(early, "text_key", "left").join(scored, "text_key", "left").join(words_there, "rare", "left")
     # Copies of a cut text are cut as well, whatever the id.
-    cut_texts = judged.groupBy("text_key").agg(F.min("reason").alias("reason"))
-    sources = texts.select("doc_id", "source").distinct()
-    return ends.select("doc_id", "text_key").distinct().join(cut_texts, "text_key").join(sources, "doc_id").select("doc_id", "source", "reason")
+    cut_texts = judged.withColumn("reason", reason).where("reason is not null").groupBy("text_key").agg(F.min("reason").alias("reason"))
+    sources = texts.select("doc_id", "text_key", "source").distinct()
+    return sources.join(cut_texts, "text_key").groupBy("doc_id", "source").agg(F.min("reason").alias("reason"))
 
 
 def by_source(documents: DataFrame) -> DataFrame:
@@ -448,5 +530,3 @@ def by_source(documents: DataFrame) -> DataFrame:
     return texts.join(counts, texts["source"].eqNullSafe(counts["source"]), "left").select(
         texts["source"], "texts", F.coalesce("n", F.lit(0)).alias("cut"), (F.coalesce("n", F.lit(0)) / F.col("texts")).alias("share")
     )
-
-

@@ -157,18 +157,19 @@ def test_truncation(spark):
 
 def test_near_copy_that_ends_early(spark):
     long = " ".join(f"word{i}" for i in range(200)) + "."
-    texts = documents(spark, [(1, long, "s"), (2, long[:1430], "s"), (3, "something else entirely that is whole.", "s")])
-    ends = truncation.endings(texts.select("doc_id", "text"), {})
+    texts = documents(spark, [(1, long, "s"), (2, long[:1430], "s"), (3, "something else entirely that is whole.", "s")]).withColumn("text_key", F.md5("text"))
+    ends = truncation.endings(texts.select("doc_id", "text_key", "text"), {})
     got = [(r.early) for r in truncation.near_copies(texts, ends).collect()]
     assert got == [True]
 
 
 def test_near_copy_beside_a_longer_text(spark):
     a, b, c = (" ".join(f"{letter}{i}" for i in range(90)) for letter in "abc")
-    texts = documents(spark, [(1, f"{b} {a[:320]}", "s"), (2, f"{b} {a}.", "s"), (3, f"{b} {a} {c} {c.upper()} {c[::-1]}.", "s")])
-    ends = truncation.endings(texts.select("doc_id", "text"), {}).withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    texts = documents(spark, [(1, f"{b} {a[:320]}", "s"), (2, f"{b} {a}.", "s"), (3, f"{c} {c.upper()} {c[::-1]} {b[::-1]}.", "s")]).withColumn("text_key", F.md5("text"))
+    band = F.array(F.lit(1).cast("bigint"))
+    ends = truncation.endings(texts.select("doc_id", "text_key", "text"), {}).withColumn("bands", band).withColumn("own", F.when(F.size("own") > 0, band))
     key = {r.doc_id: r.text_key for r in ends.collect()}
-    got = {(r.key_a, r.key_b, r.early) for r in truncation.near_copies(texts, ends).collect()}
+    got = {(r.key_a, r.key_b, r.early) for r in truncation.near_copies(texts, ends).where("near").collect()}
     assert got == {(key[1], key[2], True)}
 
 
