@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.entities import html5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs, spread
+from .filters import filter_of
 from .words import Hashes, mix, shingle_hashes, word_hashes, words
 
 BANDS, BAND_ROWS = 8, 3
@@ -31,6 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of the shortest beginning that is compared, and how much longer each next one is.
 FIRST_RUNG, RUNG_GROWTH = 8, 1.5
+#: Words whose min-hashes are worked out together.
+SKETCHED_WORDS = 16_384
 #: Words that a near-copy which goes on may have less, through words missing inside.
 SLACK = 2
 #: Words at the end that tell apart texts of one band.
@@ -49,9 +54,8 @@ PRIOR_WEIGHT, PRIOR = 4.0, 0.05
 OPEN_BELOW = 0.1
 #: Words at the end of a text that are aligned with its near-copy.
 TAIL_WORDS = 16
-#: Bits for each value of a filter, and the most a filter has; beyond that it lets more values pass, never fewer.
-FILTER_BITS, FILTER_MOST = 16, 1 << 27
-
+#: Signs at the end that hold the closing context, if they hold enough tokens.
+TAIL_SIGNS = 400
 _OMITTED = re.compile(r"\s*(\[\s*(\.{2,}|…)\s*\]|\(\s*(\.{2,}|…)\s*\)|\.{2,}|…)\s*$")
 _BROKEN = re.compile(r"(<[A-Za-z/!][^<>\n]{0,200}|\\u[0-9a-fA-F]{0,3}|�)$")
 _ENTITY = re.compile(r"(.?)&(#[0-9]{0,6}|#[xX][0-9a-fA-F]{0,5}|[A-Za-z0-9]{0,12})$", re.S)
@@ -59,6 +63,7 @@ _CLOSED = re.compile(r"[.!?。？！][\"'”’»«)\]]*$")
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 _NUMBER = re.compile(r"[\d.,]+")
 _PIECE = re.compile(r"\n|[^\s]+")
+_LINES = re.compile(r"\s*\n\s*")
 
 _SEED = np.random.default_rng(20240607)
 _MULT = _SEED.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
@@ -66,31 +71,70 @@ _PLUS = _SEED.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def rungs(n_words: int) -> np.ndarray:
-    """Lengths, in words, of the beginnings of a text of so many words."""
-    out, at = [], float(FIRST_RUNG)
+@lru_cache(maxsize=4096)
+def _parts(n_words: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
+    """Where the shingles that each longer beginning adds start, and for each row of bands the last such part and its number.
+
+    The rows are the beginnings of FIRST_RUNG words and so on, number 0 is the whole text.
+    """
+    n, ends, at = n_words - SHINGLE + 1, [], float(FIRST_RUNG)
     while at <= n_words:
-        out.append(int(at))
+        ends.append(int(at) - SHINGLE + 1)
         at *= RUNG_GROWTH
-    return np.array(out, dtype=np.int64)
+    starts = [0, *(e for e in ends if e < n)]
+    return tuple(starts), (*range(len(ends)), len(starts) - 1), (*range(1, len(ends) + 1), 0)
+
 
+def bands(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Band digests of some texts, whose word hashes ``h`` holds one after the other: BANDS for each beginning, then BANDS for the whole.
+
+    The last beginning comes next to last.  Texts shorter than a shingle have none.
+    """
+    out = [np.empty(0, dtype=np.uint64)] * len(sizes)
+    offset = np.concatenate(([0], np.cumsum(sizes)))
+    group: list[int] = []
+    for i in range(len(sizes) + 1):
+        if group and (i == len(sizes) or offset[i] - offset[group[0]] > SKETCHED_WORDS):
+            for k, found in zip(group, _bands(h[offset[group[0]] : offset[group[-1] + 1]], sizes[group[0] : group[-1] + 1])):
+                out[k] = found
+            group = []
+        if i < len(sizes):
+            group.append(i)
+    return out
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """Band digests of a text's shingles in order: one row for each beginning, the last one for the whole text."""
+
+def _bands(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    counts = np.maximum(sizes - SHINGLE + 1, 0)
+    shingles = shingle_hashes(h, SHINGLE)
+    at = np.arange(len(h)) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    shingles = shingles[(at < np.repeat(counts, sizes))[: len(shingles)]]
     if len(shingles) == 0:
-        return np.empty((0, BANDS), dtype=np.uint64)
-    ends = np.append(rungs(len(shingles) + SHINGLE - 1) - SHINGLE + 1, len(shingles))
-    least, before, low = np.empty((len(ends), BANDS * BAND_ROWS), dtype=np.uint64), 0, np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        return [np.empty(0, dtype=np.uint64)] * len(sizes)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    starts, deep, rows, numbers, lengths, base = [], [], [], [], [], 0
+    for n, f in zip(sizes.tolist(), first.tolist()):
+        if n < SHINGLE:
+            lengths.append(0)
+            continue
+        here, last, number = _parts(n)
+        starts += [f + x for x in here]
+        deep += range(len(here))
+        rows += [base + x for x in last]
+        numbers += number
+        lengths.append(len(last))
+        base += len(here)
     with np.errstate(over="ignore"):
-        for i, end in enumerate(ends):
-            for part in range(before, end, 4096):
-                h = shingles[part : min(end, part + 4096), None] * _MULT + _PLUS
-                low = np.minimum(low, (h ^ (h >> np.uint64(29))).min(axis=0))
-            least[i], before = low, end
-        key = _BAND + np.append(np.arange(1, len(ends), dtype=np.uint64), np.uint64(0))[:, None]
+        mixed = shingles[:, None] * _MULT + _PLUS
+        least = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), np.array(starts), axis=0)
+        depth = np.array(deep)
+        for d in range(1, int(depth.max()) + 1):
+            here = np.flatnonzero(depth == d)
+            least[here] = np.minimum(least[here], least[here - 1])
+        key = _BAND + np.array(numbers, dtype=np.uint64)[:, None]
+        least = least[np.array(rows)]
         for row in range(BAND_ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, row::BAND_ROWS])
-    return key
+    return [part.ravel() for part in np.split(key, np.cumsum(lengths)[:-1])]
 
 
 def split_token(token: str) -> tuple[str, str]:
@@ -124,7 +168,11 @@ class Tokens:
     def __init__(self, known: dict[str, bool]):
         """``known`` says of each known word whether its capitals only mark the start of a sentence."""
         self.known = known
-        self.codes: dict[str, tuple[int, int]] = {"\n": (1, 1)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.codes, self.shapes = _Index(self), [1], [1]
+        self.index["\n"] = 0
 
     def form(self, token: str) -> str:
         core, tail = split_token(token)
@@ -148,27 +196,33 @@ class Tokens:
         first = next((c for c in token if c.isalpha()), "")
         return ("A" if first.isupper() else "a") + tail if first else token
 
-    def code(self, token: str) -> tuple[int, int]:
-        """Codes of the token and of its shape."""
-        found = self.codes.get(token)
-        if found is None:
-            if len(self.codes) > 400_000:
-                self.codes = {"\n": (1, 1)}
-            found = self.codes[token] = tuple(xxhash.xxh3_64_intdigest(x) | 2 for x in (self.form(token), self.shape(token)))
-        return found
-
     def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array([self.code(t) for t in tokens], dtype=np.uint64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        """Codes of the tokens and of their shapes."""
+        if len(self.codes) > 400_000:
+            self.clear()
+        at = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        some, place = np.unique(at, return_inverse=True)
+        return tuple(np.array([values[i] for i in some.tolist()], dtype=np.uint64)[place] for values in (self.codes, self.shapes))
+
+
+class _Index(dict):
+    """The place of each token among the codes."""
+
+    def __init__(self, tokens: Tokens):
+        super().__init__()
+        self.tokens = tokens
+
+    def __missing__(self, token: str) -> int:
+        own = self.tokens
+        own.codes.append(xxhash.xxh3_64_intdigest(own.form(token)) | 2)
+        own.shapes.append(xxhash.xxh3_64_intdigest(own.shape(token)) | 2)
+        at = self[token] = len(own.codes) - 1
+        return at
 
 
 def pieces(text: str) -> list[str]:
     """Tokens and line ends, the first line led by a line end; blank lines count once."""
-    out = ["\n"]
-    for p in _PIECE.findall(text.rstrip()):
-        if p != "\n" or out[-1] != "\n":
-            out.append(p)
-    return out
+    return ["\n", *_PIECE.findall(_LINES.sub("\n", text.strip()))]
 
 
 def contexts(codes: np.ndarray, shapes: np.ndarray) -> list[np.ndarray]:
@@ -196,17 +250,21 @@ def contexts(codes: np.ndarray, shapes: np.ndarray) -> list[np.ndarray]:
     return [*out, np.where((depth > 0) & (depth <= LEVELS), line, np.uint64(0))]
 
 
-def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cores: dict[str, str] = {}
-
-    def core(token: str) -> str:
-        found = cores.get(token)
-        if found is None:
-            if len(cores) > 400_000:
-                cores.clear()
-            found = cores[token] = split_token(token)[0]
+class _Facts(dict):
+    """Of each token: its core, whether it has letters, whether it begins with a capital, and whether a sentence begins after it (None: as before)."""
+
+    def __missing__(self, token: str) -> tuple[str, bool, bool, bool | None]:
+        if len(self) > 400_000:
+            self.clear()
+        head = next((c for c in token if c.isalpha()), "")
+        stop = token[-1] in ".!?:"
+        after = stop if head else (stop and len(token) > 3 if any(c.isdigit() for c in token) else None)
+        found = self[token] = (split_token(token)[0], bool(head), head.isupper(), after)
         return found
 
+
+def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    facts = _Facts()
     counts: dict[str, list[int]] = {}
 
     def flush() -> pd.DataFrame:
@@ -216,18 +274,16 @@ def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text in batch["text"]:
-            tokens = pieces(text)[:-1]
             start, seen = True, set()
-            for t in tokens:
+            for t in pieces(text)[:-1]:
                 if t == "\n":
                     start = True
                     continue
-                head = next((c for c in t if c.isalpha()), "")
-                if head:
-                    seen.add((core(t), (1 if start else 2) if head.isupper() else 0))
-                    start = t[-1] in ".!?:"
-                elif any(c.isdigit() for c in t):
-                    start = t[-1] in ".!?:" and len(t) > 3
+                core, word, capital, after = facts[t]
+                if word:
+                    seen.add((core, (1 if start else 2) if capital else 0))
+                if after is not None:
+                    start = after
             for word in {w for w, _ in seen}:
                 counts.setdefault(word, [0, 0, 0])[0] += 1
             for word, kind in seen:
@@ -261,27 +317,32 @@ def known_words(counts: DataFrame, n_texts: int) -> dict[str, bool]:
 
 def _ending(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
     tokens, seen = Tokens(known.value), Hashes()
+    place = np.arange(1, CLASS_WORDS + 1, dtype=np.uint64)
     for batch in batches:
+        plain = [words(text) for text in batch["text"]]
+        sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
+        hashes = word_hashes(list(chain.from_iterable(plain)), seen)
+        ends = np.cumsum(sizes)
         rows = []
-        for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
+        for doc_id, key, text, own, n, end, digests in zip(batch["doc_id"], batch["text_key"], batch["text"], plain, sizes.tolist(), ends.tolist(), bands(hashes, sizes)):
             body = text.rstrip()
-            plain = words(text)
-            hashes = word_hashes(plain, seen)
-            digests = bands(shingle_hashes(hashes, SHINGLE)).view(np.int64)
             state, levels, rare = "closed", [], None
             if _OMITTED.search(body):
                 state = "omitted"
             elif broken(body):
                 state = "broken"
             elif not _CLOSED.search(body):
-                tail = pieces(body)[-LEVELS - 1 :]
+                tail = pieces(body[-TAIL_SIGNS:] if len(body) > TAIL_SIGNS and len(body[-TAIL_SIGNS:].split()) > LEVELS + 1 else body)[-LEVELS - 1 :]
                 state = "open"
                 rare = split_token(tail[-1])[0] if tokens.unknown(tail[-1]) else None
                 at = contexts(*tokens.arrays(tail))
                 levels = [int(c[-1].view(np.int64)) for c in [*at[: min(len(tail), 3)], at[-1], *at[3 : min(len(tail), LEVELS)]] if c[-1]]
-            end = int(mix(np.add.reduce(hashes[-CLASS_WORDS:] * np.arange(1, min(CLASS_WORDS, len(hashes)) + 1, dtype=np.uint64), keepdims=True)).view(np.int64)[0])
+            last = hashes[max(end - n, end - CLASS_WORDS) : end]
+            with np.errstate(over="ignore"):
+                end_key = int((last * place[: len(last)]).sum(dtype=np.uint64).view(np.int64)) if n else 0
+            digests = digests.view(np.int64)
             # The bands under which a text looks for others: those of its longest beginning and of the whole.
-            rows.append((doc_id, key, len(plain), plain[-1][:64] if plain else "", end, digests.ravel(), digests[-2:].ravel() if state != "closed" else [], state, rare, levels))
+            rows.append((doc_id, key, n, own[-1][:64] if own else "", end_key, digests, digests[-2 * BANDS :] if state != "closed" else digests[:0], state, rare, levels))
         yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_words", "last_word", "end_key", "bands", "own", "state", "rare", "levels"])
 
 
@@ -294,29 +355,6 @@ def endings(texts: DataFrame, known: dict[str, bool]) -> DataFrame:
     )
 
 
-class Filter:
-    """A bitmap over the low bits of some 64-bit values: what is not in it is none of them."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.low = words, np.uint64(64 * len(words) - 1)
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        at = values & self.low
-        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-
-def filter_of(values: DataFrame, column: str) -> Filter:
-    """The filter of a column of bigints, FILTER_BITS bits for each of them and FILTER_MOST at most, put together by the executors."""
-    n = values.count()
-    size = min(FILTER_MOST, max(1 << 10, 1 << (n * FILTER_BITS).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit(size - 1).cast("bigint"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
-    rows = values.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_MOST / 64 rows at most
-    words = np.zeros(size // 64, dtype=np.int64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return Filter(words.view(np.uint64))
-
-
 def _count(batches: Iterator[pd.DataFrame], known, wanted) -> Iterator[pd.DataFrame]:
     tokens, some = Tokens(known.value), wanted.value
     for batch in batches:

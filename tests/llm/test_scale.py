@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from foliospark.llm import leak_scan, lookalikes, segment, split_overlap, truncation
+from foliospark.llm import filters, leak_scan, lookalikes, segment, split_overlap, truncation
 from foliospark.llm.words import Hashes, lcs_length, word_hashes, words
 
 DOCUMENT = "doc_id bigint, text string, source string"
@@ -72,7 +72,7 @@ def test_hot_family_of_near_copies(spark):
 def test_closing_words_do_not_depend_on_filters(spark, monkeypatch):
     rows = spark.createDataFrame([(i, prose(random.Random(i), 40)[:-9 if i % 5 == 0 else None], f"s{i % 3}") for i in range(200)], DOCUMENT)
     want = {tuple(r) for r in truncation.truncated(rows).collect()}
-    monkeypatch.setattr(truncation, "FILTER_MOST", 1 << 10)
+    monkeypatch.setattr(filters, "FILTER_MOST", 1 << 10)
     assert {tuple(r) for r in truncation.truncated(rows).collect()} == want and want
 
 
