@@ -55,6 +55,9 @@ _JOINED = "\u0600-\u077f\u0900-\u0dff\u0f00-\u0fff\u1000-\u109f\u1780-\u18af\ufe
 SUSPECT = "[" + _IGNORABLE + _JOINERS + _BLANK + _WIDE + _MARK + "]"
 MIXED = "|".join(rf"\p{{Is{a}}}[\p{{M}}\p{{Cf}}]*\p{{Is{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b)
 
+#: Letters of the alphabets beside the Latin one; without them nothing is mixed.
+OTHER_ALPHABETS = "[\\u0370-\\u03ff\\u1f00-\\u1fff\\u0400-\\u052f\\u1c80-\\u1c8f\\u2de0-\\u2dff\\ua640-\\ua69f]"
+
 _IGNORED = re.compile(f"[{_IGNORABLE}]|(?<![{_JOINED}])[{_JOINERS}](?![{_JOINED}])")
 _BLANKS = re.compile(f"[{_BLANK}]")
 _WIDES = re.compile(f"[{_WIDE}]")
@@ -285,23 +288,26 @@ def _unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def suspicious(texts: DataFrame) -> DataFrame:
-    """Rows that may hold other characters than it looks."""
-    return texts.where(F.col("text").rlike(SUSPECT) | F.col("text").rlike(MIXED))
+    """Rows that may hold other characters than it looks; the cheap tests come first."""
+    text = F.col("text")
+    mixed = text.rlike(OTHER_ALPHABETS) & text.rlike(MIXED)
+    return texts.where((F.octet_length(text) > F.length(text)) & (text.rlike(SUSPECT) | mixed))
 
 
-def unified(texts: DataFrame, trie_words: int = TRIE_WORDS) -> DataFrame:
+def unified(texts: DataFrame, trie_words: int = TRIE_WORDS, odd: DataFrame | None = None) -> DataFrame:
     """``item_kind, row_id, canonical, found``: rows whose text is made of other characters than it looks.
 
     ``texts`` has ``item_kind``, ``row_id`` and ``text``.  ``found`` names what the paths of
     its words and the table between them changed: 'wide', 'accent', 'ignorable', 'blank' or
     'alphabet'.  Rows in one consistent form, null and empty texts are left out; joiners of
     joining scripts and pictures, line ends and tabs stay; repeated rows come out
-    repeatedly; an empty table gives an empty result; further columns are ignored.
+    repeatedly; an empty table gives an empty result; further columns are ignored.  ``odd``
+    are the :func:`suspicious` rows, if they are at hand.
     """
     texts = texts.select("item_kind", "row_id", "text").where("text is not null")
-    odd = cut(spread(suspicious(texts)).withColumn("key", F.md5("text")))
-    met = odd.select("key", "text").mapInPandas(_suspects, "key string, word string, skeleton string").distinct()
-    spelled = broadcast_if_small(spellings(met, texts, trie_words).select("word", "spelling", "changed"))
+    odd = (cut(spread(suspicious(texts))) if odd is None else odd).withColumn("key", F.md5("text"))
+    met = cut(odd.select("key", "text").mapInPandas(_suspects, "key string, word string, skeleton string").distinct())
+    spelled = broadcast_if_small(cut(spellings(met, texts, trie_words)).select("word", "spelling", "changed"))
     # The suspect words of one text.
     words = met.join(spelled, "word").groupBy("key").agg(F.collect_list(F.struct("word", "spelling", "changed")).alias("words"))
     return odd.join(words, "key", "left").select("item_kind", "row_id", "text", "words").mapInPandas(

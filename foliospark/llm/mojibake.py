@@ -9,7 +9,7 @@ must decode strictly and must look more like the corpus than the garbled word do
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -392,7 +392,7 @@ def _mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["item_kind", "row_id", "restored", "whole", "chains"])
 
 
-def garbled(texts: DataFrame, rows: Callable[[DataFrame], DataFrame] = lambda df: df, words: int = TRAINING_WORDS) -> DataFrame:
+def garbled(texts: DataFrame, rows: DataFrame | None = None, words: int = TRAINING_WORDS) -> DataFrame:
     """``item_kind, row_id, restored, whole, chains``: every garbled row once for each of its texts.
 
     ``texts`` has ``item_kind``, ``row_id`` and ``text``.  ``restored`` is null where
@@ -400,11 +400,11 @@ def garbled(texts: DataFrame, rows: Callable[[DataFrame], DataFrame] = lambda df
     plain ASCII texts are not garbled; whole texts are read; repeated rows come out
     repeatedly; an empty table gives an empty result; further columns are ignored.  The
     classifier is fitted to ``words`` words; every word is judged by the counts of all.
-    ``rows`` may narrow the rows that come out; the words of all count nevertheless.
+    ``rows`` may name those of the texts that are asked for; the words of all count nevertheless.
     """
     texts = texts.select("item_kind", "row_id", "text")
     verdicts = broadcast_if_small(judged(word_counts(texts, words)).select("word", "chain", "restored"))
-    odd = rows(texts).where(F.col("text").rlike(_BEYOND_ASCII)).withColumn("key", F.sha2("text", 256))
+    odd = (texts if rows is None else rows).where(F.col("text").rlike(_BEYOND_ASCII)).withColumn("key", F.sha2("text", 256))
     met = odd.select("key", F.explode(F.array_distinct(_tokens("text"))).alias("word")).join(verdicts, "word").dropDuplicates(["key", "word"])
     found = met.groupBy("key").agg(F.collect_list(F.struct("word", "chain", "restored")).alias("words"))  # the words of one text
     return odd.join(found, "key").select("item_kind", "row_id", "text", "words").mapInPandas(

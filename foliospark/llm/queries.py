@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import cut, spread, table
 from . import grouped_split, leak_scan, lookalikes, mojibake, names, packing, segment, split_overlap, truncation
 
 
@@ -47,9 +47,11 @@ def _page_texts(spark, sf_dir):
 
 def p2_found(spark, sf_dir):
     texts = _page_texts(spark, sf_dir)
+    odd = cut(spread(lookalikes.suspicious(texts)))
+    found = lookalikes.unified(texts, odd=odd).select("item_kind", "row_id").distinct()
     # Only rows that may be a case here are looked at again; the words are counted over all.
-    wrong = mojibake.garbled(texts, lookalikes.suspicious).select("item_kind", "row_id").distinct()
-    return lookalikes.unified(texts).select("item_kind", "row_id").distinct().join(wrong, ["item_kind", "row_id"], "left_anti")
+    wrong = mojibake.garbled(texts, odd).select("item_kind", "row_id").distinct()
+    return found.join(wrong, ["item_kind", "row_id"], "left_anti")
 
 
 def p2_canonical(spark, sf_dir):
