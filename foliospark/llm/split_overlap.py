@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import both_sides, broadcast_if_small, cut, salted_pairs, spread
+from .filters import filter_of
 from .names import digest_key, document_key
 from .words import Hashes, lcs_length, mix, word_hashes, words
 
@@ -121,9 +122,13 @@ def _verify(batches: Iterator[pd.DataFrame], same: float) -> Iterator[pd.DataFra
         yield batch[["a", "b", "chunk_share"]][np.array(keep, dtype=bool)]
 
 
-def _rarest(batches: Iterator[pd.DataFrame], common, share: float) -> Iterator[pd.DataFrame]:
-    """The rarest chunks of each text; those left out add up to less than ``share`` of its words."""
+def _rarest(batches: Iterator[pd.DataFrame], common, both, share: float) -> Iterator[pd.DataFrame]:
+    """The rarest chunks of each text; those left out add up to less than ``share`` of its words.
+
+    Of those, only what may stand on the other side as well comes out.
+    """
     often, times = common.value
+    there = both.value
     for batch in batches:
         sizes = batch["digests"].map(len).to_numpy()
         digest = np.concatenate([np.empty(0, dtype=np.int64), *batch["digests"]])
@@ -135,9 +140,28 @@ def _rarest(batches: Iterator[pd.DataFrame], common, share: float) -> Iterator[p
         so_far = np.cumsum(digest & 31)
         base = np.concatenate(([0], so_far))[np.searchsorted(owner, owner)]
         kept = so_far - base >= share * batch["n_words"].to_numpy()[owner]
-        rows = batch[["id", "train", "held", "n_words", *_BITS]].iloc[owner[kept]].assign(digest=digest[kept])
+        kept &= there.has(mix(digest.view(np.uint64)))
+        rows = batch[["id", "train", "held"]].iloc[owner[kept]].assign(digest=digest[kept])
         sides = [rows[rows[there]].drop(columns=["train", "held"]).assign(is_left=side) for side, there in ((True, "train"), (False, "held"))]
-        yield pd.concat(sides)[["digest", "id", "is_left", "n_words", *_BITS]]
+        yield pd.concat(sides)[["digest", "id", "is_left"]]
+
+
+def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"h": mix(np.unique(np.concatenate([np.empty(0, dtype=np.int64), *batch["digests"]])).view(np.uint64)).view(np.int64)})
+
+
+def different_texts(chunked: DataFrame) -> DataFrame:
+    """One row for each different text, by its smallest entry, with the sides ``train`` and ``held`` that have it.
+
+    Only texts of several entries are shuffled.
+    """
+    several = broadcast_if_small(chunked.groupBy("text_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    facts = ["id", "n_words", *_BITS, "digests"]
+    train, held = F.col("is_left").alias("train"), (~F.col("is_left")).alias("held")
+    alone = chunked.join(several, "text_key", "left_anti").select(*facts, train, held)
+    shared = chunked.join(several, "text_key", "left_semi").groupBy("text_key").agg(F.min(F.struct(*facts)).alias("t"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held"))
+    return alone.unionByName(shared.select("t.*", "train", "held"))
 
 
 def near_same_texts(chunked: DataFrame, texts: DataFrame, same: float = SAME_SHARE, share: float = CHUNK_SHARE) -> DataFrame:
@@ -147,29 +171,32 @@ def near_same_texts(chunked: DataFrame, texts: DataFrame, same: float = SAME_SHA
     their words as bit sets must not differ in more places than the words that may differ,
     and their shared chunks must add up to ``share`` of the longer one.
     """
-    heads = chunked.groupBy("text_key").agg(F.min("id").alias("id"), F.max("is_left").alias("train"), F.max(~F.col("is_left")).alias("held")).drop("text_key")
-    distinct = heads.join(chunked.drop("is_left", "text_key"), "id")
+    distinct = different_texts(chunked)
     often = distinct.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
-    least = max(2, heads.count() // COMMON_TEXTS)
+    least = max(2, distinct.count() // COMMON_TEXTS)
     common = sorted((r[0], r[1]) for r in often.where(F.col("texts") > least).collect())
     arrays = tuple(np.array([c[i] for c in common], dtype=np.int64) for i in range(2))
-    shared = chunked.sparkSession.sparkContext.broadcast(arrays)
-    schema = "digest bigint, id bigint, is_left boolean, n_words int, " + ", ".join(f"{b} bigint" for b in _BITS)
-    rare = distinct.mapInPandas(lambda it: _rarest(it, shared, share), schema)
+    context = chunked.sparkSession.sparkContext
+    # The held-out side is the smaller one; its filter keeps most chunks of train out of the join.
+    held = distinct.where("held").select("digests").mapInPandas(_mixed, "h bigint")
+    shared, both = context.broadcast(arrays), context.broadcast(filter_of(held, "h"))
+    rare = distinct.select("id", "train", "held", "n_words", "digests").mapInPandas(lambda it: _rarest(it, shared, both, share), "digest bigint, id bigint, is_left boolean")
+    kept = both_sides(rare, "digest").join(distinct.select("id", "n_words", *_BITS), "id")
     longer = F.greatest("left_n_words", "right_n_words")
     missing = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{c}")))) for c in _BITS), F.lit(0))
     may = (1 - same) * longer + 1e-9
     alike = (F.least("left_n_words", "right_n_words") >= same * longer) & (missing("left", "right") <= may) & (missing("right", "left") <= may)
-    found = salted_pairs(both_sides(rare, "digest"), "digest", alike & (F.col("left_id") != F.col("right_id")), ("n_words", *_BITS))
-    pairs = found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct()
-    side = lambda s: distinct.select(F.col("id").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("digests").alias(f"d_{s}"))
+    found = salted_pairs(kept, "digest", alike & (F.col("left_id") != F.col("right_id")), ("n_words", *_BITS))
+    pairs = cut(found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct())
+    wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = distinct.join(wanted, "id", "left_semi")
+    side = lambda s: some.select(F.col("id").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("digests").alias(f"d_{s}"))
     lengths = F.aggregate(F.array_intersect("d_a", "d_b"), F.lit(0).cast("bigint"), lambda total, d: total + d.bitwiseAND(F.lit(31).cast("bigint")))
     summed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (lengths / F.greatest("n_a", "n_b")).alias("chunk_share"))
-    pairs = cut(summed.where(F.col("chunk_share") >= share))
-    wanted = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = texts.join(wanted, "id").dropDuplicates(["id"])
-    side = lambda s: some.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lambda it: _verify(it, same), "a bigint, b bigint, chunk_share double")
+    summed = summed.where(F.col("chunk_share") >= share)
+    whole = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    side = lambda s: whole.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
+    return summed.join(side("a"), "a").join(side("b"), "b").mapInPandas(lambda it: _verify(it, same), "a bigint, b bigint, chunk_share double")
 
 
 def splits(manifest: DataFrame) -> DataFrame:
