@@ -55,9 +55,10 @@ def document_key(c: Column) -> Column:
 
 def digest_key(c: Column) -> Column:
     """A file digest in one writing; null if it is none or stands for no file at all."""
+    plain = c.rlike(r"\A[0-9a-f]{32,128}\z")  # the common writing needs no work
     d = F.lower(F.regexp_replace(narrow(c), r"[\s\p{Z}\p{Cf}]+", ""))
     d = F.regexp_replace(d, r"^(sha-?(1|256|512)|md5)?[:=]?(0x)?", "")
-    d = F.regexp_replace(d, r"[-:]", "")
+    d = F.when(plain, c).otherwise(F.regexp_replace(d, r"[-:]", ""))
     real = d.rlike("^[0-9a-f]{32,128}$") & ~d.rlike(r"^(.)\1+$") & ~d.isin(*EMPTY_DIGESTS)
     return F.when(real, d)
 

@@ -8,16 +8,13 @@ from ..runtime import cut, spread, table
 from . import grouped_split, leak_scan, lookalikes, mojibake, names, packing, segment, split_overlap, truncation
 
 
-def _overlaps(spark, sf_dir):
-    return split_overlap.cross_split_pairs(table(spark, sf_dir, "manifest_docs"), table(spark, sf_dir, "doc_differential"))
+def _relations(spark, sf_dir):
+    return split_overlap.relations(table(spark, sf_dir, "manifest_docs"), table(spark, sf_dir, "doc_differential"))
 
 
 def p1_found(spark, sf_dir):
-    return _overlaps(spark, sf_dir).select(*split_overlap.ordered(F.col("train_id"), F.col("held_id"))).distinct()
-
-
-def _relations(spark, sf_dir):
-    return split_overlap.relations(table(spark, sf_dir, "manifest_docs"), table(spark, sf_dir, "doc_differential"))
+    pairs = split_overlap.related_pairs(_relations(spark, sf_dir))
+    return pairs.select(*split_overlap.ordered(F.col("train_id"), F.col("held_id"))).distinct()
 
 
 def p1_report(spark, sf_dir):

@@ -33,7 +33,7 @@ CUT_EVERY = 3
 #: Longest chunk in words; fits the low bits of a digest.
 CHUNK_WORDS = 16
 #: Share of the longer text that must lie in shared chunks before two texts are compared; 0 compares all pairs with a chunk in common.
-CHUNK_SHARE = 0.1
+CHUNK_SHARE = 0.15
 #: Chunks in more than one of so many texts are ranked by how common they are; a text of ``c`` chunks bounds them by ``c * COMMON_TEXTS``.
 COMMON_TEXTS = 2_000
 #: Share of the longer text's words that must stand in the other in the same order.
@@ -210,7 +210,7 @@ def relations(manifest: DataFrame, results: DataFrame, same: float = SAME_SHARE,
     """``key, id, is_left, relation``: entries with the classes they belong to, in which every train entry overlaps every held-out one.
 
     A class of 'document' names one document, one of 'hash' has results with one digest, one
-    of 'text' has a held-out text and all train texts near-same to it.  Each row comes once.
+    of 'text' has a held-out text and all train texts near-same to it.  Repeated entries repeat their rows.
     """
     entries = splits(manifest)
     sides = entries.select(F.col("entry_id").alias("id"), "is_left")
@@ -232,7 +232,7 @@ def relations(manifest: DataFrame, results: DataFrame, same: float = SAME_SHARE,
         key = F.struct(F.xxhash64("key", F.lit(relation)), F.xxhash64(F.lit(relation), "key"))
         rows = rows.where("key is not null").select(key.alias("key"), "id", "is_left", F.lit(relation).alias("relation"))
         out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+    return out
 
 
 def cross_split_pairs(manifest: DataFrame, results: DataFrame, same: float = SAME_SHARE, share: float = CHUNK_SHARE) -> DataFrame:
@@ -243,9 +243,13 @@ def cross_split_pairs(manifest: DataFrame, results: DataFrame, same: float = SAM
     Entries without split, null and empty names, hashes and texts overlap with nothing;
     repeated rows count once; empty tables give an empty result; further columns are ignored.
     """
-    rows = relations(manifest, results, same, share)
+    return related_pairs(relations(manifest, results, same, share)).distinct()
+
+
+def related_pairs(rows: DataFrame) -> DataFrame:
+    """``train_id, held_id, relation`` of the classes of :func:`relations`; a pair comes out for each class that holds it."""
     pairs = salted_pairs(both_sides(rows, "key").withColumn("id", F.struct("id", "relation")), "key")
-    return pairs.select(F.col("left_id.id").alias("train_id"), F.col("right_id.id").alias("held_id"), F.col("left_id.relation").alias("relation")).distinct()
+    return pairs.select(F.col("left_id.id").alias("train_id"), F.col("right_id.id").alias("held_id"), F.col("left_id.relation").alias("relation"))
 
 
 def overlap_classes(rows: DataFrame) -> DataFrame:
@@ -254,7 +258,7 @@ def overlap_classes(rows: DataFrame) -> DataFrame:
     A class stands for all pairs of a train and a held-out member; one without both is left out.
     """
     train, held = F.col("is_left"), ~F.col("is_left")
-    return rows.groupBy("relation", "key").agg(
+    return rows.distinct().groupBy("relation", "key").agg(
         F.count_if(train).alias("train_entries"), F.count_if(held).alias("held_entries"),
         F.min(F.when(train, F.col("id"))).alias("first_train"), F.min(F.when(held, F.col("id"))).alias("first_held"),
     ).where("train_entries > 0 and held_entries > 0").withColumn("class_id", F.xxhash64("key")).drop("key")
@@ -289,7 +293,7 @@ def overlap_report(rows: DataFrame, fractions: DataFrame, manifest: DataFrame) -
     take off the pairs that several classes hold.  ``mean_fraction`` is the mean share of
     words in shared chunks over the reported entries that have a text.
     """
-    kept = both_sides(rows, "key").select("key", "id", "is_left", "relation", "_nl", "_nr")
+    kept = both_sides(rows.distinct(), "key").select("key", "id", "is_left", "relation", "_nl", "_nr")
     train = kept.where("is_left").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     counted = kept.where(~F.col("is_left")).join(train, "key").groupBy("id", "relation").agg(F.sum("n").alias("n"))
     several = kept.groupBy("relation", "id").agg(F.count(F.lit(1)).alias("_keys")).where("_keys > 1").drop("_keys")

@@ -206,3 +206,12 @@ def test_same_as_sql(spark, name):
     got = compare.canon(entry.queries()[name](spark, "/root/testdata/sf0.001").toPandas())
     want = compare.canon(compare.views("/root/testdata/sf0.001").execute(entry.oracle_sql()[name]).df())
     assert [str(r) for r in got] == [str(r) for r in want]
+
+
+@pytest.mark.parametrize("written", ["{}", "{}\n", " {}", "SHA256:{}", "0x{}"])
+def test_digests_however_written(spark, written):
+    from foliospark.llm.names import digest_key
+
+    digest = "0" + "a1b2" * 15 + "fed"
+    rows = spark.createDataFrame([(written.format(digest),), (written.format(digest.upper()),)], "d string")
+    assert {r[0] for r in rows.select(digest_key(F.col("d"))).collect()} == {digest}
