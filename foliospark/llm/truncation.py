@@ -54,7 +54,7 @@ PRIOR_WEIGHT, PRIOR = 4.0, 0.05
 OPEN_BELOW = 0.1
 #: Words at the end of a text that are aligned with its near-copy.
 TAIL_WORDS = 16
-#: Signs at the end that hold the closing context, if they hold enough tokens.
+#: Signs at the end that decide whether it is broken, and hold the closing context if they hold enough tokens.
 TAIL_SIGNS = 400
 _OMITTED = re.compile(r"\s*(\[\s*(\.{2,}|…)\s*\]|\(\s*(\.{2,}|…)\s*\)|\.{2,}|…)\s*$")
 _BROKEN = re.compile(r"(<[A-Za-z/!][^<>\n]{0,200}|\\u[0-9a-fA-F]{0,3}|�)$")
@@ -327,12 +327,13 @@ def _ending(batches: Iterator[pd.DataFrame], known) -> Iterator[pd.DataFrame]:
         for doc_id, key, text, own, n, end, digests in zip(batch["doc_id"], batch["text_key"], batch["text"], plain, sizes.tolist(), ends.tolist(), bands(hashes, sizes)):
             body = text.rstrip()
             state, levels, rare = "closed", [], None
-            if _OMITTED.search(body):
+            close = body[-TAIL_SIGNS:]  # no pattern of an end is longer
+            if _OMITTED.search(close):
                 state = "omitted"
-            elif broken(body):
+            elif broken(close):
                 state = "broken"
-            elif not _CLOSED.search(body):
-                tail = pieces(body[-TAIL_SIGNS:] if len(body) > TAIL_SIGNS and len(body[-TAIL_SIGNS:].split()) > LEVELS + 1 else body)[-LEVELS - 1 :]
+            elif not _CLOSED.search(close):
+                tail = pieces(close if len(close) < len(body) and len(close.split()) > LEVELS + 1 else body)[-LEVELS - 1 :]
                 state = "open"
                 rare = split_token(tail[-1])[0] if tokens.unknown(tail[-1]) else None
                 at = contexts(*tokens.arrays(tail))
