@@ -15,7 +15,7 @@ SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 #: Units that are placed one by one: components above 1/UNITS of the rows, and bundles of the rest.
 UNITS = 4_000
 #: Labels that are balanced by name; rarer ones share the label 'other'.
-LABELS = 40
+LABELS = 1_000
 
 
 def links(manifest: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ size is bounded by the capacity; items take their places by rank.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,7 +115,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, buckets: int = BU
         for s, n in filling.items():
             left[s] -= times * n
             if not left[s]:
-                order.remove(s)
+                del order[bisect_left(order, s)]
     return out
 
 
