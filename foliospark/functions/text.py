@@ -194,3 +194,84 @@ def entropy(weights: Column) -> Column:
     total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     spread = F.aggregate(weights, F.lit(0.0), lambda a, x: a - F.when(x > 0, x / total * F.log(x / total)).otherwise(0.0))
     return F.when(F.size(weights) < 2, F.lit(0.0)).otherwise(spread / F.log(F.size(weights)))
+
+
+def is_year(c: Column) -> Column:
+    """Whether a token is a year of the last or this century, signs around it aside."""
+    return c.rlike(r"^[(\[]?(19|20)[0-9]{2}[)\],;:.]?$")
+
+
+def has_letters(c: Column) -> Column:
+    """Whether a token has three letters or more."""
+    return c.rlike(r"\p{L}.*\p{L}.*\p{L}")
+
+
+def is_upper(c: Column) -> Column:
+    """Whether a token has capitals and no small letters."""
+    return c.rlike(r"\p{Lu}") & ~c.rlike(r"\p{Ll}")
+
+
+def has_leader(c: Column) -> Column:
+    """Whether a token leads to another with a run of dots."""
+    return c.rlike(r"\.{3,}|…|(\. ){3,}")
+
+
+def is_line_number(c: Column) -> Column:
+    """Whether a token is a short number with at most a letter after it."""
+    return c.rlike(r"^[(\[]?[0-9]{1,3}[a-z]?[)\].:]?$")
+
+
+def edge_spaces(c: Column) -> Column:
+    """A text as ``lead``, ``core`` and ``trail``: blanks before it, itself, blanks after it."""
+    core = F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    lead = F.regexp_extract(c, r"\A\s*", 0)
+    return F.struct(lead.alias("lead"), core.alias("core"), F.substr(c, F.length(lead) + F.length(core) + 1).alias("trail"))
+
+
+def escape_run(c: Column, styled: bool = False, linked: bool = False) -> Column:
+    """Text of a run for Markdown: backslashes, marks of style in styled runs and brackets in linked ones are escaped."""
+    signs = "\\\\" + ("*~" if styled else "") + (r"\[\]" if linked else "")
+    return F.regexp_replace(c, f"([{signs}])", r"\\$1")
+
+
+def normal_code(c: Column) -> Column:
+    """Code in one line: line ends are blanks; one blank goes from both edges if both have one."""
+    flat = F.regexp_replace(c, r"\r\n|[\r\n]", " ")
+    framed = flat.startswith(" ") & flat.endswith(" ") & (F.trim(flat) != "")
+    return F.when(framed, F.substr(flat, F.lit(2), F.length(flat) - 2)).otherwise(flat)
+
+
+def cluster_id(*parts: Column) -> Column:
+    """A stable identifier of the parts of a cluster; null parts count as empty."""
+    return F.lower(F.hex(F.xxhash64(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])))
+
+
+# Narrow and wide elements of the signs of Code 39.
+CODE_39 = {
+    "0": "nnnwwnwnn", "1": "wnnwnnnnw", "2": "nnwwnnnnw", "3": "wnwwnnnnn", "4": "nnnwwnnnw", "5": "wnnwwnnnn", "6": "nnwwwnnnn", "7": "nnnwnnwnw", "8": "wnnwnnwnn", "9": "nnwwnnwnn",
+    "A": "wnnnnwnnw", "B": "nnwnnwnnw", "C": "wnwnnwnnn", "D": "nnnnwwnnw", "E": "wnnnwwnnn", "F": "nnwnwwnnn", "G": "nnnnnwwnw", "H": "wnnnnwwnn", "I": "nnwnnwwnn", "J": "nnnnwwwnn",
+    "K": "wnnnnnnww", "L": "nnwnnnnww", "M": "wnwnnnnwn", "N": "nnnnwnnww", "O": "wnnnwnnwn", "P": "nnwnwnnwn", "Q": "nnnnnnwww", "R": "wnnnnnwwn", "S": "nnwnnnwwn", "T": "nnnnwnwwn",
+    "U": "wwnnnnnnw", "V": "nwwnnnnnw", "W": "wwwnnnnnn", "X": "nwnnwnnnw", "Y": "wwnnwnnnn", "Z": "nwwnwnnnn", "-": "nwnnnnwnw", ".": "wwnnnnwnn", " ": "nwwnnnwnn",
+    "$": "nwnwnwnnn", "/": "nwnwnnnwn", "+": "nwnnnwnwn", "%": "nnnwnwnwn", "*": "nwnnwnwnn",
+}
+
+
+def code39(c: Column) -> Column:
+    """The bars of a text between start and stop signs, a narrow gap between signs; null if a sign has none."""
+    known = F.create_map(*[F.lit(x) for pair in CODE_39.items() if pair[0] != "*" for x in pair])
+    bars = F.transform(F.filter(F.split(c, ""), lambda s: s != ""), lambda s: F.element_at(known, s))
+    edge = F.lit(CODE_39["*"])
+    return F.when(~F.exists(bars, lambda b: b.isNull()), F.array_join(F.concat(F.array(edge), bars, F.array(edge)), "n"))
+
+
+def text_width(c: Column, advances: dict[str, float], other: float, spacing: float = 0.0) -> Column:
+    """Width of a text: the advances of its signs, ``other`` for those not listed, and the spacing between them."""
+    known = F.create_map(*[F.lit(x) for pair in advances.items() for x in pair])
+    signs = F.filter(F.split(c, ""), lambda s: s != "")
+    total = F.aggregate(signs, F.lit(0.0), lambda w, s: w + F.coalesce(F.element_at(known, s), F.lit(other)))
+    return F.round(total + spacing * F.greatest(F.size(signs) - 1, F.lit(0)), 6)
+
+
+def file_digest_matches(content: Column, digest: Column) -> Column:
+    """Whether content has a SHA-256 digest, however that is written; null content has none."""
+    return F.coalesce(F.sha2(content, 256) == F.lower(F.trim(digest)), F.lit(False))

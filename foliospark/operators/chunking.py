@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .hierarchy import hierarchy
 from .structure import FURNITURE, ORDER
 
 
@@ -64,19 +65,18 @@ def flat_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
 _PLAIN = frozenset(["string", "int", "bigint", "double", "float", "boolean", "smallint", "tinyint", "date", "timestamp", "decimal"])
 
 
-def flatten_outline(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def flatten_outline(nodes: DataFrame) -> DataFrame:
     """``doc_id, level, title, page``: outline entries with a page, levels by depth in the tree; entries without page keep their children.
 
-    ``nodes`` has ``doc_id, id, parent_id, title, page``; one join per level, at most ``depth``.
+    ``nodes`` has ``doc_id, id, parent_id, title, page``; trees may have any depth, entries
+    in a ring are left out.
     """
-    level = nodes.where("parent_id is null").withColumn("level", F.lit(1))
-    found = level
-    for n in range(2, depth + 1):
-        up = level.select("doc_id", F.col("id").alias("parent_id"))
-        level = nodes.join(up, ["doc_id", "parent_id"]).select(*nodes.columns).withColumn("level", F.lit(n))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
+    rows = nodes.select(
+        F.col("doc_id").alias("entry_id"), F.col("id").cast("string").alias("style_id"), F.lit(None).cast("string").alias("name"),
+        F.col("parent_id").cast("string").alias("based_on"), F.lit(0).alias("loaded_at"),
+    )
+    depths = hierarchy(rows).where("depth >= 0").select(F.col("entry_id").alias("doc_id"), F.col("style_id").alias("_id"), (F.col("depth") + 1).alias("level"))
+    found = nodes.withColumn("_id", F.col("id").cast("string")).join(depths, ["doc_id", "_id"])
     return found.where("page is not null").select("doc_id", "level", "title", "page")
 
 

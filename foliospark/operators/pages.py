@@ -65,3 +65,77 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFram
     left, right = a.select(*keys, F.col(value).alias("before")), b.select(*keys, F.col(value).alias("after"))
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("common")
     return left.join(right, keys, "full_outer").select(*keys, status.alias("status"), "before", "after")
+
+
+def insert(pages: DataFrame, more: DataFrame, doc: str, page: str, position: int) -> DataFrame:
+    """``doc, page, inserted, new_page``: the pages of ``more`` put into each document before its page ``position`` (from 1).
+
+    A position past the end puts them behind; documents without pages are made of the new ones.
+    """
+    if position < 1:
+        raise ValueError("position must be at least 1")
+    at = F.row_number().over(Window.partitionBy(doc).orderBy(page))
+    own = pages.select(doc, page, F.when(at < position, 0).otherwise(2).alias("_part"))
+    both = own.unionByName(more.select(doc, page, F.lit(1).alias("_part")))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("_part", page)) - 1
+    return both.select(doc, page, (F.col("_part") == 1).alias("inserted"), place.alias("new_page"))
+
+
+def rearrange(pages: DataFrame, doc: str, page: str, *order: Column) -> DataFrame:
+    """Pages of each document numbered anew in ``order``; none is lost or repeated."""
+    return pages.withColumn("new_page", F.row_number().over(Window.partitionBy(doc).orderBy(*order, page)) - 1)
+
+
+def split_pages(pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """``doc, page, part``: each page as a document of its own, named by document and page from 1."""
+    return pages.select(doc, page, F.concat_ws("-", F.col(doc).cast("string"), (F.col(page) + 1).cast("string")).alias("part"))
+
+
+def split_ranges(pages: DataFrame, spans: DataFrame, doc: str, page: str) -> DataFrame:
+    """``doc, part, page, new_page``: pages by the ranges ``part, first, last`` (from 0, both included) they lie in.
+
+    The ranges are few and the same for all documents; a page may lie in several.
+    """
+    joined = pages.join(F.broadcast(spans), (F.col(page) >= F.col("first")) & (F.col(page) <= F.col("last")))
+    return joined.select(doc, "part", page, (F.row_number().over(Window.partitionBy(doc, "part").orderBy(page)) - 1).alias("new_page"))
+
+
+def written_ranges(spec: Column, pages: Column) -> Column:
+    """Ranges of a page specification as they are written; page 0, reversed ranges and pages past the end are errors."""
+    def part(p: Column) -> Column:
+        ends = F.split(F.trim(p), r"\s*-\s*")
+        first = ends[0].try_cast("int")
+        last = F.coalesce(F.get(ends, F.lit(1)), ends[0]).try_cast("int")
+        bad = F.raise_error(F.concat(F.lit("bad page range: "), p)).cast("struct<first:int,last:int>")
+        return F.when((first >= 1) & (last >= first) & (last <= pages), F.struct(first.alias("first"), last.alias("last"))).otherwise(bad)
+
+    return F.transform(F.split(spec, ","), part)
+
+
+def turned(rotation: Column, degrees: int) -> Column:
+    """A page's rotation after turning it by a multiple of 90 degrees."""
+    if degrees % 90:
+        raise ValueError("pages turn by multiples of 90 degrees")
+    return F.pmod(rotation + F.lit(degrees), F.lit(360))
+
+
+def cropped(box: Column, left: float, bottom: float, right: float, top: float) -> Column:
+    """A box less the margins; null where nothing is left."""
+    inner = F.array(box[0] + left, box[1] + bottom, box[2] - right, box[3] - top)
+    return F.when((inner[0] < inner[2]) & (inner[1] < inner[3]), inner)
+
+
+def merged_bookmarks(bookmarks: DataFrame, page_counts: DataFrame, doc: str, into: str) -> DataFrame:
+    """``into, doc, title, page``: bookmarks of joined documents, their pages shifted by the pages of the documents before."""
+    before = F.sum("pages").over(Window.partitionBy(into).orderBy(doc).rowsBetween(Window.unboundedPreceding, -1))
+    shifts = page_counts.select(into, doc, F.coalesce(before, F.lit(0)).alias("_shift"))
+    return bookmarks.join(shifts, doc).select(into, doc, "title", (F.col("page") + F.col("_shift")).alias("page"))
+
+
+def first_copies(rows: DataFrame, key: str, digest: Column) -> DataFrame:
+    """``key, first``: for each row the smallest key of the rows with the same content; references go there when copies are dropped.
+
+    Only keys and digests are shuffled, and the copies of one content are pre-aggregated.
+    """
+    keyed = rows.select(key, digest.alias("_d")).where("_d is not null")
+    return keyed.join(keyed.groupBy("_d").agg(F.min(key).alias("first")), "_d").select(key, "first")

@@ -44,7 +44,7 @@ def table_chunks(cells: DataFrame, keys: list[str], most: int) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"])
     tables = row_texts(cells, keys).groupBy(*keys).agg(ordered.alias("lines")).withColumn("whole", F.array_join("lines", "\n"))
     groups = tables.withColumn("groups", F.when(F.length("whole") > most, _budget(F.col("lines"), most)))
-    split = groups.withColumn("groups", F.when(F.size("groups") >= 2, F.col("groups")).otherwise(F.array(F.slice("lines", 2, 1_000_000))))
+    split = groups.withColumn("groups", F.when(F.size("groups") >= 2, F.col("groups")).otherwise(F.array(F.slice("lines", 2, F.size("lines")))))
     return split.select(*keys, F.size("groups").alias("parts"), F.col("lines")[0].alias("header"), F.posexplode("groups").alias("part", "rows")).select(
         *keys, (F.col("part") + 1).alias("part"), "parts", F.array_join(F.concat(F.array("header"), "rows"), "\n").alias("text")
     )
@@ -59,7 +59,7 @@ def table_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
     tables = rows.groupBy(*keys).agg(body.alias("rows"))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(F.col("rows")[0], lambda _: F.lit(" --- ")), "|"), F.lit("|"))
-    rest = F.transform(F.slice("rows", 2, 1_000_000), line)
+    rest = F.transform(F.slice("rows", 2, F.size("rows")), line)
     return tables.select(*keys, F.array_join(F.concat(F.array(line(F.col("rows")[0]), rule), rest), "\n").alias("markdown"))
 
 

@@ -12,6 +12,7 @@ from ..operators import render as R
 from ..operators import structure as S
 from ..runtime import table
 from .hierarchy import _TREE
+from .lines import _MARK
 
 
 def _lines(spark, sf_dir, *columns):
@@ -31,7 +32,7 @@ def lines_above(spark, sf_dir):
 
 
 def covered_area(spark, sf_dir):
-    return G.union_area(_lines(spark, sf_dir, "bbox"), ["entry_id", "page"])
+    return G.union_area(_lines(spark, sf_dir, "bbox"), ["entry_id", "page"]).withColumn("area", F.round("area", 3))
 
 
 def aligned_tables(spark, sf_dir):
@@ -131,6 +132,20 @@ steps AS (SELECT entry_id, style_id, depth, path, unnest(generate_series(1, dept
 near AS (SELECT s.entry_id, s.style_id, o.outline AS inherited FROM steps s JOIN own o ON o.entry_id = s.entry_id AND o.style_id = s.path[s.i]
   WHERE o.outline IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s.entry_id, s.style_id ORDER BY s.i DESC) = 1)
 SELECT entry_id, style_id, coalesce(outline, inherited) AS outline FROM own LEFT JOIN near USING (entry_id, style_id)""",
+    "covered_area": f"""WITH {L}, B AS (SELECT entry_id, page, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1 FROM L WHERE len(bbox) = 4),
+X AS (SELECT entry_id, page, x0 AS x FROM B UNION SELECT entry_id, page, x1 FROM B), S AS (SELECT *, lead(x) OVER (PARTITION BY entry_id, page ORDER BY x) AS nx FROM X),
+C AS (SELECT S.entry_id, S.page, x, nx, y0, y1, max(y1) OVER (PARTITION BY S.entry_id, S.page, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM S JOIN B ON S.entry_id = B.entry_id AND S.page = B.page AND x0 <= x AND x1 >= nx AND y1 > y0 WHERE nx IS NOT NULL),
+A AS (SELECT entry_id, page, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(reach, y0)))) AS area FROM C GROUP BY 1, 2)
+SELECT entry_id, page, round(coalesce(area, 0), 3) AS area FROM (SELECT DISTINCT entry_id, page FROM B) LEFT JOIN A USING (entry_id, page)""",
+    "page_chunks": rf"""WITH {L}, M AS (SELECT entry_id, page, line_no, line_id, CASE
+  WHEN kind = 'heading' THEN '# ' || text WHEN kind = 'listItem' THEN '- ' || trim(regexp_replace(text, '{_MARK}', ''), ' ')
+  WHEN regexp_matches(text, '^[0-9]+[.)] ') THEN regexp_replace(text, '^([0-9]+)', '\\\1') ELSE regexp_replace(text, '^([#<>+*-])', '\\\1') END AS md
+  FROM L WHERE text IS NOT NULL AND kind NOT IN ('header', 'footer') AND trim(text, ' ') <> ''),
+D AS (SELECT entry_id, page, string_agg(md, chr(10) || chr(10) ORDER BY line_no, line_id) AS markdown FROM M GROUP BY 1, 2),
+T AS (SELECT entry_id, page, count(DISTINCT table_id) AS n FROM L WHERE table_id IS NOT NULL GROUP BY 1, 2),
+H AS (SELECT entry_id, page, text AS section FROM L WHERE kind = 'heading' AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id, page ORDER BY line_no, line_id) = 1)
+SELECT entry_id, page, length(markdown) AS chars, coalesce(n, 0) AS tables, section FROM D LEFT JOIN T USING (entry_id, page) LEFT JOIN H USING (entry_id, page)""",
     "run_regressions": f"""WITH {D}, S AS (SELECT run_id, count(*) AS total, count(*) FILTER (render_verdict = 'Match') AS passed, count(error) AS errors, round(avg(render_ssim), 9) AS ssim FROM D GROUP BY 1),
 P AS (SELECT *, lag(total) OVER w AS t, lag(passed) OVER w AS p, lag(errors) OVER w AS e, lag(ssim) OVER w AS s FROM S WINDOW w AS (ORDER BY run_id))
 SELECT run_id, 'error_rate' AS rule, 'trigger' AS level FROM P WHERE errors / total * 100 - e / t * 100 > 1.0

@@ -119,12 +119,6 @@ def page_merge(spark, sf_dir):
     return P.merge(_pages(spark, sf_dir), F.floor(F.col("entry_id") / 10).cast("bigint"), ["entry_id", "page"]).select("merged_id", "entry_id", "page", "new_page")
 
 
-def page_labels(spark, sf_dir):
-    rows = table(spark, sf_dir, "manifest_docs").where("page_count >= 1").select("entry_id", F.col("page_count").alias("n"))
-    style = F.element_at(F.array(*map(F.lit, ["r", "R", "a", "A", "D"])), (F.col("entry_id") % 5 + 1).cast("int"))
-    return rows.select("entry_id", T.page_label(F.col("n"), style, F.lit("p-")).alias("label"))
-
-
 def _cells(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"), F.max("l_quantity").cast("int").cast("string").alias("q")
@@ -179,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_normalised, dedupe_exact, neighbour_similarity, search_counts, search_hits, pages_containing, redact_literal, redact_pattern_report, find_replace,
-        bates_numbers, wrapped_lines, code_fences, page_window, page_specs, page_batches, page_ranges, page_delete, page_extract, page_merge, page_labels,
+        bates_numbers, wrapped_lines, code_fences, page_window, page_specs, page_batches, page_ranges, page_delete, page_extract, page_merge,
         table_texts, table_markdown, table_chunks, grid_expand, coerced_props, json_paths, plain_numbers,
     )
 }

@@ -11,21 +11,16 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id bigint, index int, kind string, text string, level int, page int, row int, col int, href string, error string"
-_COLUMNS = ["doc_id", "index", "kind", "text", "level", "page", "row", "col", "href", "error"]
+from .html import parse_html
 
-# Markup whose content is not shown, or is not part of the text.
-HIDDEN = frozenset(["head", "script", "style", "nav", "footer", "del", "template", "noscript", "svg"])
-# Elements without content, and those that end a block.
-VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
-BREAKS = frozenset(["p", "div", "section", "article", "header", "main", "aside", "ul", "ol", "table", "blockquote", "pre", "body", "figure", "form", "dl", "dt", "dd"])
+SCHEMA = "doc_id bigint, index int, kind string, text string, level int, page int, row int, col int, ordinal int, row_span int, col_span int, header boolean, href string, error string"
+_COLUMNS = ["doc_id", "index", "kind", "text", "level", "page", "row", "col", "ordinal", "row_span", "col_span", "header", "href", "error"]
 
 #: Bytes that a packed file may unpack to at most.
 LARGEST = 256 * 1024 * 1024
@@ -40,79 +35,6 @@ def sniff(content: Column) -> Column:
     return F.when(found, "pdf").when(F.substring(content, 1, 2) == F.lit(b"PK"), "office").otherwise("unknown")
 
 
-class _Html(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[Block] = []
-        self.text: list[str] = []
-        self.kind, self.level = "paragraph", None
-        self.hidden: list[str] = []
-        self.lists: list[str] = []
-        self.row = self.col = -1
-        self.in_cell = False
-
-    def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.text)).strip()
-        self.text = []
-        if self.in_cell:
-            self.blocks.append({"kind": "tableCell", "text": text, "row": self.row, "col": self.col})
-        elif text:
-            self.blocks.append({"kind": self.kind, "text": text, "level": self.level})
-        self.kind, self.level, self.in_cell = "paragraph", None, False
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        a = dict(attrs)
-        style = (a.get("style") or "").replace(" ", "").lower()
-        concealed = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        if self.hidden or tag in HIDDEN or concealed:
-            if tag not in VOID:
-                self.hidden.append(tag)
-            return
-        if tag == "br":
-            self.text.append(" ")
-        elif re.fullmatch("h[1-6]", tag):
-            self.flush()
-            self.kind, self.level = "heading", int(tag[1])
-        elif tag == "li":
-            self.flush()
-            self.kind, self.level = "listItem", len(self.lists)
-        elif tag == "tr":
-            self.flush()
-            self.row, self.col = self.row + 1, -1
-        elif tag in ("td", "th"):
-            self.flush()
-            self.col, self.in_cell = self.col + 1, True
-        elif tag in BREAKS and not self.in_cell:
-            self.flush()
-            if tag == "table":
-                self.row = -1
-        if tag in ("ul", "ol"):
-            self.lists.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.hidden:
-            if tag in self.hidden:
-                while self.hidden.pop() != tag:
-                    pass
-            return
-        if tag in BREAKS and not self.in_cell or re.fullmatch("h[1-6]|li|tr|td|th", tag):
-            self.flush()
-        if tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.text.append(data)
-
-
-def parse_html(content: str) -> list[Block]:
-    parser = _Html()
-    parser.feed(content)
-    parser.close()
-    parser.flush()
-    return parser.blocks
-
-
 def parse_markdown(content: str) -> list[Block]:
     """Headings, list items, fenced code, pipe tables and paragraphs of Markdown."""
     out: list[Block] = []
@@ -328,7 +250,7 @@ def _read(batches: Iterator[pd.DataFrame], kind: str, strict: bool) -> Iterator[
                     raise
                 rows.append({"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"})
         frame = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-        for c in ("index", "level", "page", "row", "col"):
+        for c in ("index", "level", "page", "row", "col", "ordinal", "row_span", "col_span"):
             frame[c] = frame[c].astype("Int32")
         yield frame.astype({c: object for c in ("kind", "text", "href", "error")}).where(frame.notna(), None)
 

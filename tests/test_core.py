@@ -89,16 +89,16 @@ def test_html_blocks(spark):
     )
     got = [(b["kind"], b["text"], b.get("level"), b.get("row"), b.get("col")) for b in blocks.parse_html(html)]
     assert got == [
-        ("heading", "Head", 2, None, None), ("paragraph", "One two", None, None, None), ("paragraph", "three", None, None, None),
-        ("listItem", "a", 1, None, None), ("listItem", "b", 2, None, None),
-        ("tableCell", "k", None, 0, 0), ("tableCell", "v", None, 0, 1), ("tableCell", "1", None, 1, 0), ("tableCell", "2", None, 1, 1),
+        ("heading", "Head", 2, None, None), ("paragraph", "One **two**", None, None, None), ("paragraph", "**three**", None, None, None),
+        ("listItem", "**a**", 1, None, None), ("listItem", "**b**", 2, None, None),
+        ("tableCell", "**k**", None, 0, 0), ("tableCell", "**v**", None, 0, 1), ("tableCell", "**1**", None, 1, 0), ("tableCell", "**2**", None, 1, 1),
     ]
 
 
 def test_markdown_and_text_blocks():
     got = [(b["kind"], b["text"], b.get("level")) for b in blocks.parse_markdown("# T\n\npara\nmore\n\n- a\n  - b\n3. c\n\n```\nx # y\n```\n")]
     assert got == [("heading", "T", 1), ("paragraph", "para more", None), ("listItem", "a", 1), ("listItem", "b", 2), ("listItem", "c", 1), ("paragraph", "x # y", None)]
-    assert [b["kind"] for b in blocks.parse_text("Hello.\n\n- one\n- two\n")] == ["paragraph", "listItem", "listItem"]
+    assert [b["kind"] for b in blocks.parse_text("A note.\n\n- first\n* second\n3. third")] == ["paragraph", "listItem", "listItem", "listItem"]
 
 
 def packed(files):

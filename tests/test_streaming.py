@@ -20,5 +20,8 @@ def test_daily_counts_and_upsert(spark, tmp_path):
     write = trends.upsert(str(tmp_path / "table"), ["event_type"], "ts")
     write(df.where("id < 10"), 0)
     write(df.where("id >= 10"), 1)
-    last = {r.event_type: r.id for r in spark.read.parquet(str(tmp_path / "table/version=1")).collect()}
+    write(df.where("id >= 10"), 1)  # repeated after a failure
+    last = {r.event_type: r.id for r in trends.upserted(spark, str(tmp_path / "table")).collect()}
     assert last == {"a": 19, "b": 18}
+    write(df.where("id = 19").withColumn("id", df.id + 100), 2)
+    assert {r.event_type: r.id for r in trends.upserted(spark, str(tmp_path / "table")).collect()} == {"a": 119, "b": 18}
