@@ -125,8 +125,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     sized = with_limits(latest_wide(rows, ["chunk_id"], "made_at"), limits)
     over = F.coalesce(F.length("text") > F.col("max_chars"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
-    # Texts within their limit do not leave the JVM.
-    cut_up = sized.withColumn("spans", _spans(F.when(over, F.col("text")), F.coalesce("max_chars", F.lit(0)), F.coalesce("overlap_chars", F.lit(0))))
+    # Texts within their limit do not leave the JVM; the others are cut once, wherever the result is used.
+    cut_up = sized.withColumn("spans", _spans.asNondeterministic()(F.when(over, F.col("text")), F.coalesce("max_chars", F.lit(0)), F.coalesce("overlap_chars", F.lit(0))))
     spans = cut_up.withColumn("spans", F.coalesce("spans", whole))
     pieces = spans.select("chunk_id", F.size("spans").alias("n_pieces"), F.posexplode("spans").alias("piece_no", "s"), "text", "metadata")
     start, end = F.col("s.start"), F.col("s.end")
