@@ -489,6 +489,14 @@ def _in_bands(batches: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]
         yield batch.drop(columns="bands").iloc[owner[kept]].assign(band=digest[kept])
 
 
+def _band_counts(batches: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]:
+    some = wanted.value
+    for batch in batches:
+        digest = np.concatenate([np.empty(0, dtype=np.int64), *batch["bands"]])
+        band, n = np.unique(digest[some.has(digest.view(np.uint64))], return_counts=True)
+        yield pd.DataFrame({"band": band, "n": n})
+
+
 def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``key_a, key_b, near, early``: texts that are not closed, with a text of their bands that may go on where they end.
 
@@ -499,10 +507,13 @@ def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARIT
     of near-copies costs one comparison for each that was cut, and no link is lost.
     """
     facts = ["text_key", "n_words", "last_word", "end_key"]
-    asked = cut(ends.select(*facts, F.explode("own").alias("band")).distinct())
-    wanted = texts.sparkSession.sparkContext.broadcast(filter_of(asked.select("band").distinct(), "band"))
+    context = texts.sparkSession.sparkContext
+    wanted = context.broadcast(filter_of(ends.select(F.explode("own").alias("band")).distinct(), "band"))
+    counts = ends.select("bands").mapInPandas(lambda it: _band_counts(it, wanted), "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n"))
+    # A text is in its own bands; only those that hold another row as well are looked into.
+    shared = context.broadcast(filter_of(cut(counts.where("n > 1").select("band")), "band"))
     rows = "text_key string, n_words int, last_word string, end_key bigint, band bigint"
-    there = cut(ends.select(*facts, "bands").mapInPandas(lambda it: _in_bands(it, wanted), rows).distinct())
+    asked, there = (cut(ends.select(*facts, F.col(c).alias("bands")).mapInPandas(lambda it: _in_bands(it, shared), rows).distinct()) for c in ("own", "bands"))
     goes_on = (F.col("left_end_key") != F.col("right_end_key")) & (
         (F.col("right_n_words") > F.col("left_n_words"))
         | (F.col("right_n_words") >= F.col("left_n_words") - SLACK)
@@ -517,12 +528,13 @@ def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARIT
         found = salted_pairs(both_sides(sides, "band"), "band", goes_on, columns)
         return found.select(F.col("left_id.text_key").alias("key_a"), F.col("right_id").alias("b"))
 
-    side = lambda s: texts.select(F.col("text_key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}")).dropDuplicates([f"key_{s}"])
-
     def compared(found: DataFrame) -> DataFrame:
         met = cut(found)
-        some = lambda s: side(s).join(broadcast_if_small(met.select(f"key_{s}").distinct()), f"key_{s}", "left_semi")
-        return cut(met.join(some("a"), "key_a").join(some("b"), "key_b").mapInPandas(lambda it: _align(it, similarity), "key_a string, key_b string, near boolean, early boolean"))
+        wanted = broadcast_if_small(met.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct())
+        # Only the texts that are compared are shuffled.
+        whole = texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+        side = lambda s: whole.select(F.col("text_key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
+        return cut(met.join(side("a"), "key_a").join(side("b"), "key_b").mapInPandas(lambda it: _align(it, similarity), "key_a string, key_b string, near boolean, early boolean"))
 
     classes = there.groupBy("band", "end_key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n_words", "text_key", "last_word")).alias("t")).select("band", "end_key", "size", "t.*")
     first = compared(pairs(asked, classes).groupBy("key_a").agg(F.max("b").alias("b")).select("key_a", F.col("b.text_key").alias("key_b")))
