@@ -513,7 +513,7 @@ def near_copies(texts: DataFrame, ends: DataFrame, similarity: float = SIMILARIT
     # A text is in its own bands; only those that hold another row as well are looked into.
     shared = context.broadcast(filter_of(cut(counts.where("n > 1").select("band")), "band"))
     rows = "text_key string, n_words int, last_word string, end_key bigint, band bigint"
-    asked, there = (cut(ends.select(*facts, F.col(c).alias("bands")).mapInPandas(lambda it: _in_bands(it, shared), rows).distinct()) for c in ("own", "bands"))
+    asked, there = (cut(ends.where(F.size(c) > 0).select(*facts, F.col(c).alias("bands")).mapInPandas(lambda it: _in_bands(it, shared), rows).distinct()) for c in ("own", "bands"))
     goes_on = (F.col("left_end_key") != F.col("right_end_key")) & (
         (F.col("right_n_words") > F.col("left_n_words"))
         | (F.col("right_n_words") >= F.col("left_n_words") - SLACK)
