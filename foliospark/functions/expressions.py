@@ -22,7 +22,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from . import text as T
 
@@ -576,28 +576,43 @@ def _compile(node: Node, kinds: dict[str, str]) -> tuple[str, Column]:
     raise NotNative(node.kind)
 
 
-def compiled(script: str, df: DataFrame) -> Column:
+def names_in(node: Any) -> set[str]:
+    """All names and other words of a script."""
+    if isinstance(node, (list, tuple)):
+        return set().union(*map(names_in, node))
+    if isinstance(node, Node):
+        own = {node.value} if isinstance(node.value, str) else names_in(node.value) if isinstance(node.value, (list, tuple, Node)) else set()
+        return own | names_in(node.parts)
+    return {node} if isinstance(node, str) else set()
+
+
+def compiled(script: str, df: DataFrame, errors: bool = False) -> Column:
     """The script as a string column over the columns of ``df``; whole numbers have no fraction.
 
-    Division by zero and scripts that fail give null.
+    Division by zero and scripts that fail give null.  With ``errors`` the result is a
+    struct of ``value`` and ``error``, the latter what made a script fail.  Scripts that
+    columns cannot express are interpreted, with the columns they name only.
     """
     node = parse(script)
     kinds = {n: "s" if t in ("string", "boolean", "date", "timestamp") else "n" for n, t in df.dtypes if t.split("(")[0] in ("string", "int", "bigint", "double", "float", "decimal", "smallint", "tinyint")}
     try:
         kind, c = _compile(node, kinds)
-        return T.plain_number(c) if kind == "n" else c
+        value = T.plain_number(c) if kind == "n" else c
+        return F.struct(value.alias("value"), F.lit(None).cast("string").alias("error")) if errors else value
     except NotNative:
-        names = sorted(kinds)
+        words = {w.lower() for w in names_in(node)}
+        names = sorted(n for n in kinds if n.lower() in words)
 
-    def run(frame: pd.DataFrame) -> pd.Series:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in frame.itertuples(index=False, name=None):
+        for row in frame[names].itertuples(index=False, name=None) if names else [()] * len(frame):
             fields = {n: None if v is None or v != v else v if isinstance(v, str) else float(v) for n, v in zip(names, row)}
             try:
                 value = Interpreter(fields).run(node)
-                out.append(None if value is None else string(value))
-            except (ScriptError, _Break, _Continue, _Return, RecursionError):
-                out.append(None)
-        return pd.Series(out, dtype=object)
+                out.append((None if value is None else string(value), None))
+            except (ScriptError, _Break, _Continue, _Return, RecursionError) as e:
+                out.append((None, f"{type(e).__name__}: {e}".strip(": ")))
+        return pd.DataFrame(out, columns=["value", "error"], dtype=object)
 
-    return F.pandas_udf(run, StringType())(F.struct(*names))
+    made = F.pandas_udf(run, StructType().add("value", StringType()).add("error", StringType()))(F.struct(*(names or [F.lit(0).alias("none")])))
+    return made if errors else made["value"]

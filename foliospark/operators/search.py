@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import cut
+
 #: Signs that a regular expression gives a meaning.
 _SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|])")
 
@@ -57,16 +59,17 @@ def redaction_report(rows: DataFrame, keys: list[str], pattern: str) -> DataFram
 
 
 def numbered(rows: DataFrame, order: str, prefix: str, start: int = 1, width: int = 6) -> DataFrame:
-    """Rows with a consecutive ``stamp`` such as ``ABC000001`` over the whole table.
+    """Rows with a consecutive ``stamp`` such as ``ABC000001`` over the whole table, in the order of a unique key.
 
-    Rows are ranked within ranges of ``step`` keys and the sizes of the ranges
-    summed up, so that no task sorts them all.
+    Rows are split into ranges of about equal size whatever the keys are, ranked within
+    them, and the sizes of the ranges summed up, so no task sorts them all.  The split is
+    written once, as a second one could draw other bounds.
     """
-    step = 10_000
-    ranged = rows.withColumn("_part", F.floor(F.col(order) / step))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     number = F.col("_i") + F.col("_before") + (start - 1)
-    joined = ranked.join(sizes.select("_part", offset.alias("_before")), "_part")
+    joined = ranked.join(F.broadcast(sizes.select("_part", offset.alias("_before"))), "_part")  # one row a range
     return joined.withColumn("stamp", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("_part", "_i", "_before")

@@ -55,3 +55,22 @@ def test_loops_run_per_row(spark):
     df = spark.createDataFrame([(3,), (0,), (None,)], "n int")
     got = [r[0] for r in df.select(E.compiled("var s = 0\nfor i = 1 upto n do\ns = s + i\nendfor\ns", df)).collect()]
     assert got == ["6", "0", "0"]
+
+
+def test_only_named_columns_are_read_and_errors_kept(spark, tmp_path):
+    spark.createDataFrame([(1, 5.0, "x"), (2, None, "y")], "a int, b double, c string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    script = "var i = 0 while (i < 3) do i = i + a endwhile i"
+    plan = df.select(E.compiled(script, df))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<a:int>" in plan
+    assert [r.v for r in df.select(E.compiled(script, df).alias("v")).collect()] == ["3", "4"]
+    got = df.select(E.compiled("while (1) do b = 1 endwhile", df, errors=True).alias("v")).first().v
+    assert got.value is None and got.error
+
+
+def test_numbers_run_on_over_sparse_keys(spark):
+    from foliospark.operators import search
+
+    rows = spark.createDataFrame([(i * i * 100_003,) for i in range(300, 0, -1)], "k bigint")
+    got = sorted((r.k, r.stamp) for r in search.numbered(rows, "k", "N", 5, 4).collect())
+    assert [s for _, s in got] == [f"N{i:04d}" for i in range(5, 305)]
