@@ -369,10 +369,26 @@ class _Return(Exception):
         self.value = value
 
 
+#: Calls that reach into a tree where their first argument is a path.
+PATH_CALLS = frozenset(["get", "put", "set", "exists"])
+
+
+def is_tree_path(value: Any) -> bool:
+    """Whether an argument is a path into a tree: no address, and with a dot, a bracket, a root or 'this'."""
+    return isinstance(value, str) and "://" not in value and (value == "this" or value[:1] in ("$", "!") or "." in value or "[" in value)
+
+
+def tree_path(path: str) -> str:
+    """A path with the number of each step, as the values of a tree are kept: the first one unless it is given."""
+    steps = [s for s in path.lstrip("!").split(".") if s and not s.startswith("$") and s != "this"]
+    return ".".join(s if s.endswith("]") else f"{s}[0]" for s in steps)
+
+
 class Interpreter:
-    """Runs a script over the fields of one row."""
+    """Runs a script over the fields of one row, and over the values of a tree by their paths if there is one."""
 
-    def __init__(self, fields: dict[str, Any] | None = None):
+    def __init__(self, fields: dict[str, Any] | None = None, tree: dict[str, Any] | None = None):
+        self.tree = tree
         self.scopes: list[dict[str, Any]] = [dict(fields or {})]
         self.functions: dict[str, tuple[list[str], Node]] = {}
         self.steps = 0
@@ -481,6 +497,8 @@ class Interpreter:
                 return r.value
             finally:
                 self.scopes.pop()
+        if self.tree is not None and node.value in PATH_CALLS and values and is_tree_path(values[0]):
+            return self._reach(node.value, tree_path(values[0]), *values[1:])
         if node.value not in BUILTINS:
             raise ScriptError(f"unknown function {node.value!r}")
         try:
@@ -489,6 +507,17 @@ class Interpreter:
             raise ScriptError(str(e)) from e
 
 
+    def _reach(self, name: str, path: str, value: Any = None) -> Any:
+        if name == "exists":
+            return float(path in self.tree)
+        if name == "get":
+            return self.tree.get(path)
+        if path not in self.tree:
+            raise ScriptError(f"no node at {path!r}")
+        self.tree[path] = value
+        return value
+
+
 def evaluate(script: str, fields: dict[str, Any] | None = None) -> Any:
     """The value of a script; numbers are floats."""
     return Interpreter(fields).run(parse(script))

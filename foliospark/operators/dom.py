@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import expressions as E
 from .hierarchy import descendants, hierarchy
 
 NODE = "doc_id bigint, id bigint, parent_id bigint, at int, name string, value string"
@@ -222,3 +223,55 @@ def chosen_options(options: Column, wanted: Column, flags: Column) -> Column:
     """The wanted values that are among the options, in their order; only the first one unless several may be chosen."""
     known = F.filter(options, lambda o: F.array_contains(wanted, o))
     return F.when(flag(flags, "multi_select"), known).otherwise(F.slice(known, 1, 1))
+
+
+def _calculate(batches: Iterator[pd.DataFrame], rounds: int) -> Iterator[pd.DataFrame]:
+    parsed: dict[str, object] = {}
+    for batch in batches:
+        rows = []
+        for doc_id, values, scripts in zip(batch["doc_id"], batch["nodes"], batch["scripts"]):
+            tree = {v["path"]: v["value"] for v in values}
+            errors: dict[str, str] = {}
+            for _ in range(rounds):
+                before = dict(tree)
+                for s in scripts if scripts is not None else ():
+                    if s["path"] not in tree:
+                        continue
+                    beside = s["path"].rpartition(".")[0]
+                    fields = {p.rpartition(".")[2].partition("[")[0]: v for p, v in reversed(tree.items()) if p.rpartition(".")[0] == beside}
+                    try:
+                        node = parsed.get(s["script"]) or parsed.setdefault(s["script"], E.parse(s["script"]))
+                        value = E.Interpreter(fields, tree).run(node)
+                        tree[s["path"]] = None if value is None else E.string(value)
+                        errors.pop(s["path"], None)
+                    except (E.ScriptError, RecursionError) as e:
+                        errors[s["path"]] = str(e)
+                if tree == before:
+                    break
+            rows += [(doc_id, p, v, errors.get(p)) for p, v in tree.items()]
+        yield pd.DataFrame(rows, columns=["doc_id", "path", "value", "error"])
+
+
+def calculated(nodes: DataFrame, scripts: DataFrame, rounds: int = 10) -> DataFrame:
+    """``doc_id, path, value, error``: the values of forms after their calculations.
+
+    ``scripts`` are ``doc_id, path, at, script``; they run in the order of ``at`` and all again
+    until nothing changes, ``rounds`` times at most.  A script sees the fields beside its own
+    by name and all others by path; one that fails leaves its value and has an error.
+    """
+    placed = nodes.join(paths(nodes), ["doc_id", "id"])
+    values = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("nodes"))  # one form
+    ordered = scripts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "path", "script"))).alias("scripts"))
+    return values.join(ordered, "doc_id", "left").mapInPandas(lambda it: _calculate(it, rounds), "doc_id bigint, path string, value string, error string")
+
+
+def invalid(nodes: DataFrame, scripts: DataFrame) -> DataFrame:
+    """``doc_id, path``: fields whose validation ``doc_id, path, at, script`` gives something false, as conditions of scripts do.
+
+    A script that fails or gives nothing does not make a field invalid.
+    """
+    checks = scripts.select("doc_id", "path", "at", "script")
+    marked = calculated(nodes, checks, 1)
+    tested = marked.join(checks.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_semi").where("error is null and value is not null")
+    number = F.col("value").try_cast("double")
+    return tested.where(F.when(number.isNotNull(), number == 0).otherwise(F.trim("value") == "")).select("doc_id", "path")

@@ -103,3 +103,18 @@ def test_scalars(spark):
         T.file_digest_matches(F.lit(b"x"), F.upper(F.sha2(F.lit(b"x"), 256))), T.file_digest_matches(F.lit(None).cast("binary"), F.lit("00")),
     ).first()
     assert tuple(row) == ("fine st", "a%20b%28c%29", "nwnnwnwnnnwnnnnwnnwnnwnnwnwnn", None, "a b", "*x*\\\\", True, False)
+
+
+def test_calculations_run_until_nothing_changes(spark, nodes):
+    scripts = [
+        (1, "form[0].sum[0]", 1, 'Get("form.row[0].total") + Get("form.row[1].total")'), (1, "form[0].row[1].total[0]", 2, "40 + 2"), (1, "form[0].row[0].note[0]", 3, "total * 2"),
+        (1, "form[0].row[0].total[0]", 4, "nofunction(1)"), (1, "no[0]", 5, "1"), (2, "form[0].sum[0]", 1, 'if (Exists("form.none")) then 1 else Put("form.sum", 8) endif'),
+    ]
+    got = {(r.doc_id, r.path): (r.value, bool(r.error)) for r in dom.calculated(nodes, spark.createDataFrame(scripts, "doc_id bigint, path string, at int, script string")).collect()}
+    assert got[1, "form[0].sum[0]"] == ("43", False) and got[1, "form[0].row[0].note[0]"] == ("2", False)
+    assert got[1, "form[0].row[0].total[0]"] == ("1", True) and got[2, "form[0].sum[0]"] == ("8", False)
+
+
+def test_validations(spark, nodes):
+    scripts = [(1, "form[0].sum[0]", 1, "sum > 10"), (2, "form[0].sum[0]", 1, "sum > 1"), (1, "form[0].row[0].total[0]", 2, "nofunction(1)")]
+    assert [tuple(r) for r in dom.invalid(nodes, spark.createDataFrame(scripts, "doc_id bigint, path string, at int, script string")).collect()] == [(1, "form[0].sum[0]")]
