@@ -10,17 +10,19 @@ size is bounded by the capacity; items take their places by rank.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut, spread
+from ..runtime import broadcast_if_small, cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary splits text before merging.
@@ -43,13 +45,15 @@ def tokenizer(path: str):
 
 
 def _count(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    encode = tokenizer(path).encode_ordinary
+    shipped = SparkFiles.get(os.path.basename(path))
+    encode = tokenizer(shipped if os.path.exists(shipped) else path).encode_ordinary
     for batch in batches:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encode(t)) for t in batch["text"]]})
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, tokens`` of every document with text."""
+    """``doc_id, tokens`` of every document with text; the vocabulary file goes to the executors with the job."""
+    documents.sparkSession.sparkContext.addFile(path)
     texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text <> ''"))
     return texts.mapInPandas(lambda it: _count(it, path), "doc_id bigint, tokens bigint")
 
@@ -190,6 +194,6 @@ def pack_all(documents: DataFrame, budgets: DataFrame, path: str = TOKENIZER, bu
 def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """``budget_id, containers, tokens, filled``: how full the containers are."""
     used = packed.groupBy("budget_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    return used.join(F.broadcast(budgets.select("budget_id", "capacity_tokens").distinct()), "budget_id").select(
+    return used.join(broadcast_if_small(budgets.select("budget_id", "capacity_tokens").distinct()), "budget_id").select(
         "budget_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled")
     )
