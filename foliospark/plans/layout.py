@@ -123,6 +123,10 @@ WHERE (contains(k, '#') OR (k <> '' AND regexp_matches(k, '{T.ROMAN}'))) AND y1
 SELECT line_id, heading_id FROM P WHERE k = 'heading' AND low - y1 <= s""",
     "overlapping_lines": f"""WITH {_L} SELECT a.line_id AS line_a, b.line_id AS line_b FROM B a JOIN B b ON a.entry_id = b.entry_id AND a.page = b.page AND a.line_id < b.line_id
 WHERE least(a.y1, b.y1) - greatest(a.y0, b.y0) > least(a.y1 - a.y0, b.y1 - b.y0) / 2""",
+    "word_boxes": rf"""WITH {_L}, P AS (SELECT line_id, x0, x1, y0, y1, text, unnest(range(1, length(text) + 1)) AS i FROM B WHERE trim(text, ' ') <> ''),
+S AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY i) - 1 AS n, regexp_extract(substr(text, i), '^\S+') AS word, (x1 - x0) / length(text) AS unit FROM P
+  WHERE NOT regexp_matches(substr(text, i, 1), '\s') AND (i = 1 OR regexp_matches(substr(text, i - 1, 1), '\s')))
+SELECT line_id, CAST(n AS INT) AS word_no, word, round(x0 + unit * (i - 1), 3) AS x0, round(x0 + unit * (i - 1) + unit * length(word), 3) AS x1, y0, y1 FROM S""",
     "regrouped_lines": rf"""WITH {_L} SELECT entry_id, page, CAST(row_number() OVER (PARTITION BY entry_id, page ORDER BY y1 DESC) - 1 AS INT) AS line,
   array_to_string(list_filter(string_split_regex(trim(text, ' '), '\s+'), lambda x: x <> ''), ' ') AS text FROM B WHERE trim(text, ' ') <> ''""",
     "tables_over_pages": f"""WITH {_L}, {_HULL}, E AS (SELECT entry_id, page, arg_min(struct_pack(t := table_id), line_no * 1000000000000 + line_id) AS f, arg_max(struct_pack(t := table_id), line_no * 1000000000000 + line_id) AS l
